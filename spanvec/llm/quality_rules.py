@@ -11,32 +11,47 @@ grows with the text's length (times its logarithm for repeated windows).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import let, session_ready, word_array
 
 SYMBOLS = r"[#*$%&|<>]"
+BLANK = " \t\x0b\f\r\n"
 #: What a sentence may end in.
-LINE_END = r"""[.!?:;)\]"'”’»…。！？][\x20\x09-\x0D]*$"""
+LINE_END = ".!?:;)]\"'”’»…。！？"
 #: Marks of which prose has few.
 MARKS = r"[!?#*$%&|<>~^=_@{}\\]"
 MOST_MARKS = 0.3
 SEPARATORS = r"[|»›·•>]"
 MENU = r"(?i)^[^a-z0-9]*(home|about us|contact us|log ?in|sign (in|up|out)|register|menu|next|previous|read more|back to top|share|tweet|skip to content|search|site ?map|follow us)\b"
 MENU_WORDS = 8
-BOILERPLATE = r"(?i)lorem ipsum|enable javascript|use(s)? cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|subscribe to|newsletter|click here|powered by"
+BOILERPLATE = ("lorem ipsum", "enable javascript", "uses cookies", "use cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "subscribe to", "newsletter", "click here", "powered by")
 MIN_WORDS = 50
 MOST_REPEATED = 50
 MOST_LOST = 0.5
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line with a word that breaks a rule; lines without a word never fail."""
+def _any(text: Column, phrases) -> Column:
+    low = F.lower(text)
+    return reduce(or_, (low.contains(p) for p in phrases))
+
+
+def line_fails(line: Column, text: Column | None = None) -> Column:
+    """True for a line with a word that breaks a rule; lines without a word never fail.
+
+    text: columns (marks, separators, boilerplate) telling what the whole text
+    has at all, so that lines of a text without any are not searched for it.
+    """
     n = F.size(word_array(line))
-    punctuation = ~line.rlike(LINE_END) | (F.regexp_count(line, F.lit(MARKS)) > MOST_MARKS * n)
-    navigation = (F.regexp_count(line, F.lit(SEPARATORS)) * 4 >= n) | ((n <= MENU_WORDS) & line.rlike(MENU))
-    return (n > 0) & (punctuation | navigation | line.rlike(BOILERPLATE))
+    has = lambda k: F.lit(True) if text is None else text[k]
+    end = F.substring(F.rtrim(line, F.lit(BLANK)), -1, 1)
+    punctuation = ~F.lit(LINE_END).contains(end) | (has("marks") & (F.regexp_count(line, F.lit(MARKS)) > MOST_MARKS * n))
+    navigation = (has("separators") & (F.regexp_count(line, F.lit(SEPARATORS)) * 4 >= n)) | (line.rlike(MENU) & (n <= MENU_WORDS))
+    return (end != "") & (punctuation | navigation | (has("boilerplate") & _any(line, BOILERPLATE)))
 
 
 def repeated_words(words: Column) -> Column:
@@ -67,12 +82,18 @@ def clean(docs: DataFrame) -> DataFrame:
     words, text = word_array(F.col("text")), F.col("text")
     counts = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words")))
 
+    has = F.struct(text.rlike(MARKS).alias("marks"), text.rlike(SEPARATORS).alias("separators"), _any(text, BOILERPLATE).alias("boilerplate"))
+
     def of_lines(lines):
-        full = F.filter(lines, lambda x: F.char_length(F.btrim(x, F.lit(" \t\x0b\f\r"))) > 0)
+        full = F.filter(lines, lambda x: F.btrim(x, F.lit(BLANK)) != "")
         dup = let(full, lambda f: F.size(f) - F.size(F.array_distinct(f)))
-        return F.struct(dup.cast("long").alias("n_dup_lines"), F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n").alias("clean_text"))
+        judged = F.transform(lines, lambda x: F.struct(x.alias("x"), line_fails(x, F.col("has")).alias("fails")))
+        lost = lambda j: F.aggregate(F.filter(j, lambda x: x["fails"]), F.lit(0), lambda n, x: n + F.size(word_array(x["x"])))
+        left = lambda j: F.array_join(F.transform(F.filter(j, lambda x: ~x["fails"]), lambda x: x["x"]), "\n")
+        return let(judged, lambda j: F.struct(dup.cast("long").alias("n_dup_lines"), lost(j).cast("long").alias("n_lost_words"), left(j).alias("clean_text")))
 
+    rows = rows.withColumn("has", has)
     rows = rows.select("doc_id", counts.alias("w"), let(F.split(text, "\n", -1), of_lines).alias("l"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
-    rows = rows.select("doc_id", "w.*", "l.*", "n_symbols").withColumn("n_kept_words", F.size(word_array(F.col("clean_text"))).cast("long"))
+    rows = rows.select("doc_id", "w.*", "l.*", "n_symbols").withColumn("n_kept_words", F.col("n_words") - F.col("n_lost_words")).drop("n_lost_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_kept_words") >= (1 - MOST_LOST) * F.col("n_words")))
