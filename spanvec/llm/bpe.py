@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ._common import per_batch, session_ready
@@ -162,6 +163,21 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return _id_text(docs).mapInArrow(per_batch(work), "doc_id long, ids array<int>")
 
 
+def encode_rows(docs: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """docs(text, ...) to the given columns of it, n_tokens and ids, a row for each row; null and empty texts have no ids."""
+    session_ready(docs.sparkSession)
+    kept = docs.select(*columns, F.col("text").cast("string").alias("_text"))
+
+    def work(b):
+        bpe = encoder(path)
+        ids = [bpe.encode(t or "") for t in b.column("_text").to_pylist()]
+        made = [pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *made], [*columns, "n_tokens", "ids"])
+
+    schema = kept.select(*columns).schema.add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType()))
+    return kept.mapInArrow(per_batch(work), schema)
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded(doc_id, ids) to (doc_id, text); null ids give an empty text."""
     session_ready(encoded.sparkSession)
