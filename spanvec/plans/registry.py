@@ -25,8 +25,8 @@ class IndexConfig:
 
 @dataclass(frozen=True)
 class TableConfig:
-    #: Lists probed by an approximate search before it widens.
-    nprobe: int = 4
+    #: Lists probed by an approximate search before it widens; random vectors need most of them for a recall of 0.9.
+    nprobe: int = 12
     #: At most this share of rows passing a filter are searched exactly.
     brute_force_selectivity: float = 0.05
     #: Exact search unless an index is registered and this is set.
