@@ -136,7 +136,7 @@ def piece_log_probabilities(words: DataFrame, n_ends: int, path: str) -> tuple[l
 def _least_frequent(words: DataFrame, most: int) -> int:
     """The least power of two such that at most ``most`` words occur as often. Gets at most 64 rows."""
     by_size = words.groupBy(F.floor(F.log2("seen")).cast("int").alias("b")).count().orderBy(F.desc("b")).collect()
-    total, least = 0, 64
+    total, least = 0, 62
     for r in by_size:
         total += r["count"]
         if total > most:
