@@ -32,6 +32,7 @@ SHINGLE = 4
 SEED = 42
 CLOSE = 4
 BUCKET_LIMIT = 65_536
+HOT_SHARE = 1000
 #: Shingles whose bits are counted at a time; bounds memory for very long texts.
 STEP = 1 << 16
 
@@ -148,14 +149,20 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, shingle:
     repeated rows; an empty table gives none.  Other columns are not read.
     """
     fps = written(with_fingerprints(docs, shingle), "fingerprints")
-    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
     roots = written(components(fingerprint_links(least.select("fp"), bucket_limit, m)), "roots")
     linked = least.join(roots, least.fp == roots.node).select("fp", "root", "low")
     lows = linked.groupBy("root").agg(F.min("low").alias("component"))
     of_fp = least.join(linked.select("fp", "root").join(lows, "root").select("fp", "component"), "fp", "left").select(
-        "fp", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component")).alias("component_id")
+        "fp", "n", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component")).alias("component_id")
     )
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint with more than one row in HOT_SHARE is hot; there are fewer than HOT_SHARE of them, so these are broadcast
+    rows = least.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(of_fp.where(F.col("n") * HOT_SHARE > rows).select("fp", "component_id", F.lit(True).alias("hot")))
+    tagged = fps.join(hot, "fp", "left")
+    cold = tagged.where("hot is null").select("fp", "doc_id").join(of_fp.where(F.col("n") * HOT_SHARE <= rows).select("fp", "component_id"), "fp")
+    out = tagged.where("hot").select("fp", "doc_id", "component_id").unionByName(cold)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
