@@ -31,7 +31,7 @@ from ._common import session_ready, word_array, written
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = 17
-SHARD_DOCS = 20_000
+SHARD_DOCS = 4_000
 MOST_BLOCK = 4096
 
 
