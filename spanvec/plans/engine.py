@@ -47,9 +47,8 @@ class Engine:
 
         text = dialect.tables(dialect.table_functions(text, resolve), self.views)
         text = dialect.arrays(text)
-        if pruned := self._pruned(text):
-            text = pruned
-        return self.spark.sql(dialect.expand_distances(text))
+        pruned = self._pruned(text)
+        return self.spark.sql(dialect.expand_distances(text)) if pruned is None else pruned
 
     def plan(self, text: str) -> matcher.Match | None:
         """The k-NN search that a query amounts to if its table has an index with the same metric, else None."""
@@ -62,19 +61,27 @@ class Engine:
             return None
         return next((e for n in self.registry.names() if n.split("::")[-2:] == [found.table, found.column] for e in [self.registry.get(n)]), None)
 
-    def _pruned(self, text: str) -> str | None:
-        """The same query over only the lists that the index reads for its vector."""
+    def _pruned(self, text: str) -> DataFrame | None:
+        """The same query over only the lists nearest to its vector; more of them while it has fewer than k rows.
+
+        So a filter costs no rows; one that hardly any row passes ends with all lists, which is exact.
+        """
         if not any(e.index is not None and e.table.approximate for n in self.registry.names() for e in [self.registry.get(n)]):
             return None
         found = self.plan(text)
         entry = self._entry(found)
-        if entry is None or found.filtered or entry.index is None or not entry.table.approximate or len(found.query) != entry.config.dimensions:
+        if entry is None or entry.index is None or not entry.table.approximate or len(found.query) != entry.config.dimensions:
             return None
-        index, view = entry.index, f"_lists_{uuid.uuid4().hex}"
-        lists = index.order(found.query)[: entry.table.nprobe]
-        index.assigned(entry.scan).where(f"list_id in ({', '.join(map(str, lists))})").drop("list_id").createOrReplaceTempView(view)
-        self.last_query_stats = {"path": "index", "lists_read": len(lists), "lists": len(index.centroids)}
-        return dialect.tables(text, {found.table: view})
+        index, probes = entry.index, max(1, entry.table.nprobe)
+        order, assigned = index.order(found.query), index.assigned(entry.scan)
+        while True:
+            view, lists = f"_lists_{uuid.uuid4().hex}", order[:probes]
+            assigned.where(f"list_id in ({', '.join(map(str, lists))})").drop("list_id").createOrReplaceTempView(view)
+            out = self.spark.sql(dialect.expand_distances(dialect.tables(text, {found.table: view})))
+            if probes >= len(order) or out.count() >= found.k:
+                self.last_query_stats = {"path": "index", "lists_read": len(lists), "lists": len(order), "filtered": found.filtered}
+                return out
+            probes *= 2
 
 
 def register_all(spark: SparkSession, registry: Registry | None = None) -> Engine:

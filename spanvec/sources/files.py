@@ -10,13 +10,17 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sqlite3
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 BATCH = 1024
 _STORED = {T.BooleanType: "INTEGER", T.ByteType: "INTEGER", T.ShortType: "INTEGER", T.IntegerType: "INTEGER", T.LongType: "INTEGER", T.FloatType: "REAL", T.DoubleType: "REAL", T.StringType: "TEXT", T.BinaryType: "BLOB", T.DateType: "INTEGER", T.TimestampType: "INTEGER", T.TimestampNTZType: "INTEGER"}
@@ -136,19 +140,33 @@ def _to_cell(v):
     return bytes(v) if isinstance(v, bytearray) else v
 
 
+class _Batch(InputPartition):
+    def __init__(self, path: str, index: int):
+        self.path, self.index = path, index
+
+
+def _ipc_files(path: str) -> list[str]:
+    """The file, or the files of a folder in order."""
+    return sorted(os.path.join(path, x) for x in os.listdir(path) if x.endswith(".arrow")) if os.path.isdir(path) else [path]
+
+
 class ArrowIpcReader(DataSourceReader):
+    """One task for each record batch, in file order."""
+
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self):
-        with pa.memory_map(self.path) as source:
-            return [_Range(i, i + 1) for i in range(max(1, pa.ipc.open_file(source).num_record_batches))]
+        found = []
+        for path in _ipc_files(self.path):
+            with pa.memory_map(path) as source:
+                found += [_Batch(path, i) for i in range(pa.ipc.open_file(source).num_record_batches)]
+        return found or [_Batch("", 0)]
 
     def read(self, part):
-        with pa.memory_map(self.path) as source:
-            f = pa.ipc.open_file(source)
-            if part.low < f.num_record_batches:
-                yield f.get_batch(part.low)
+        if part.path:
+            with pa.memory_map(part.path) as source:
+                yield pa.ipc.open_file(source).get_batch(part.index)
 
 
 class ArrowIpc(DataSource):
@@ -157,13 +175,74 @@ class ArrowIpc(DataSource):
         return "arrow_ipc"
 
     def schema(self):
-        with pa.memory_map(self.options["path"]) as source:
+        with pa.memory_map(_ipc_files(self.options["path"])[0]) as source:
             return from_arrow_schema(pa.ipc.open_file(source).schema)
 
     def reader(self, schema):
         return ArrowIpcReader(self.options["path"])
 
 
+def unsigned_order(key: str) -> list[Column]:
+    """Sort keys that put a signed key in the order of its 64-bit pattern read as unsigned: negative keys come last."""
+    return [(F.col(key) < 0).asc(), F.col(key).asc()]
+
+
+def write_arrow_ipc(df: DataFrame, path: str, key: str) -> None:
+    """A folder of Arrow IPC files, sorted by key in unsigned order within and across files.
+
+    Every task writes the files of its range into a staging folder; only those
+    of attempts that succeeded are kept, and one rename publishes them.  Null
+    and repeated keys are refused.  No row reaches the driver.
+    """
+    if os.path.exists(path):
+        raise FileExistsError(path)
+    bad = df.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).orderBy(key).first()
+    if bad is not None:
+        raise ValueError(f"key {bad[0]} is null or repeated")
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    os.makedirs(staging)
+
+    def store(batches):
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.arrow"
+        writer = None
+        for b in batches:
+            if b.num_rows:
+                writer = writer or pa.ipc.new_file(os.path.join(staging, name), b.schema)
+                writer.write_batch(b)
+        if writer:
+            writer.close()
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    try:
+        ranges = df.repartitionByRange(*unsigned_order(key)).sortWithinPartitions(*unsigned_order(key))
+        kept = {r["name"] for r in ranges.mapInArrow(store, "name string").collect()}
+        for left in set(os.listdir(staging)) - kept:
+            os.remove(os.path.join(staging, left))
+        if not kept:
+            pa.ipc.new_file(os.path.join(staging, "part-00000.arrow"), to_arrow_schema(df.schema)).close()
+        os.rename(staging, path)
+    except BaseException:
+        shutil.rmtree(staging, ignore_errors=True)
+        raise
+
+
+def check_ascending(df: DataFrame, key: str) -> None:
+    """Fails unless the keys of a table of IPC files are not null and strictly rise in unsigned order. The driver gets one row for each batch."""
+
+    def ends(batches):
+        for b in batches:
+            k = b.column(0)
+            if b.num_rows and not k.null_count:
+                v = k.cast(pa.int64()).to_numpy().view("u8")
+                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "first": [int(v[0]) - 2**63], "last": [int(v[-1]) - 2**63], "ok": [bool((v[1:] > v[:-1]).all())]})
+            elif k.null_count:
+                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "first": [0], "last": [0], "ok": [False]})
+
+    found = df.select(key).mapInArrow(ends, "part long, first long, last long, ok boolean").collect()
+    if not all(r["ok"] for r in found) or any(a["last"] >= b["first"] for a, b in zip(found, found[1:])):
+        raise ValueError(f"keys of column {key!r} are null or do not rise")
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteTable)
     spark.dataSource.register(ArrowIpc)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 KEY_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -84,6 +86,20 @@ class ParquetLookup(Lookup):
         return found.orderBy(self.key) if columns is None or self.key in columns else found
 
 
+class ArrowLookup(Lookup):
+    """A folder of Arrow IPC files (or one file) sorted by key; rows come back in unsigned key order."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, check: bool = True):
+        files.register(spark)
+        super().__init__(spark.read.format("arrow_ipc").option("path", path).load(), key)
+        if check:
+            files.check_ascending(self.df, key)
+
+    def fetch_by_keys(self, keys, columns=None):
+        found = super().fetch_by_keys(keys).orderBy(*files.unsigned_order(self.key))
+        return found.select(*columns) if columns else found
+
+
 class PackedParquetLookup:
     """Rows of Parquet files by packed key (file, row group, offset); see ``functions.keys``."""
 
@@ -164,13 +180,13 @@ class SidecarBuilder:
         return ParquetLookup(self.spark, self.path, self.key)
 
 
-def open_or_build(spark: SparkSession, path: str, key: str, files: list[str]) -> ParquetLookup:
+def open_or_build(spark: SparkSession, path: str, key: str, parquet_files: list[str]) -> ParquetLookup:
     """The table at ``path``; built from Parquet files if it is missing, with keys 0, 1, ... in file and row order."""
     fs, p = hadoop_fs(spark, path)
     if not fs.exists(p):
         from ..functions.keys import DatasetLayout
 
-        layout, rows = DatasetLayout.from_files(files), None
+        layout, rows = DatasetLayout.from_files(parquet_files), None
         for before, f in zip(layout.before_file, layout.files):
             part = spark.read.parquet(f).withColumn(key, F.col("_metadata.row_index") + F.lit(before))
             rows = part if rows is None else rows.unionByName(part)

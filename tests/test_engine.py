@@ -15,7 +15,7 @@ from spanvec.plans import dialect
 from spanvec.plans.engine import Engine
 from spanvec.plans.registry import IndexConfig, Registry, TableConfig
 from spanvec.sources import files
-from spanvec.sources.lookup import Lookup, MemoryLookup, PackedParquetLookup, SidecarBuilder, open_or_build
+from spanvec.sources.lookup import ArrowLookup, Lookup, MemoryLookup, PackedParquetLookup, SidecarBuilder, open_or_build
 
 Q = "ARRAY[1.0, 0.0, 0.0, 0.0]"
 ROWS = [(1, "alpha", [1.0, 0.0, 0.0, 0.0]), (2, "beta", [0.0, 1.0, 0.0, 0.0]), (3, "gamma", [0.0, 0.0, 1.0, 0.0]), (4, "alpha", [0.0, 0.0, 0.0, 1.0])]
@@ -211,3 +211,39 @@ def test_streaming_feed(spark, tmp_path):
 def test_vector_search_arguments(engine):
     with pytest.raises(ValueError, match="below zero"):
         vector_search(engine.registry, "datafusion.public.items", "vector", [1.0, 0, 0, 0], -1)
+
+
+@pytest.mark.parametrize("where, k, want", [("", 4, [1, 2, 3, 4]), ("WHERE label <> 'beta'", 3, [1, 3, 4]), ("WHERE label = 'beta'", 2, [2]), ("WHERE id > 9", 1, [])])
+def test_sql_index_widens_to_whole_results(spark, items, where, k, want):
+    e = Engine(spark)
+    index = IvfIndex.build(items, "id", "vector", IndexConfig(4, lists=4))
+    e.add_table("a.b.widening", "vector", scan=items, lookup=items, key="id", config=IndexConfig(4, lists=4), table=TableConfig(approximate=True, nprobe=1), index=index)
+    found = e.sql(f"SELECT id FROM widening {where} ORDER BY l2_distance(vector, {Q}), id LIMIT {k}").collect()
+    assert sorted(r["id"] for r in found) == want
+    assert e.last_query_stats["path"] == "index" and e.last_query_stats["filtered"] == bool(where)
+
+
+def test_arrow_ipc_builder(spark, tmp_path):
+    path, rows = f"{tmp_path}/store", [(-5, "a"), (3, "b"), (-1, None), (10, "c")]
+    files.write_arrow_ipc(spark.createDataFrame(rows, "rowid long, name string").repartition(3), path, "rowid")
+    store = ArrowLookup(spark, path, "rowid")
+    assert [r["rowid"] for r in store.scan().collect()] == [3, 10, -5, -1]
+    assert [tuple(r) for r in store.fetch_by_keys([-1, 3, 99, 3, -5]).collect()] == [(3, "b"), (-5, "a"), (-1, None)]
+    assert [r["name"] for r in store.fetch_by_keys([-5, 10], ["name"]).collect()] == ["c", "a"]
+    with pytest.raises(FileExistsError):
+        files.write_arrow_ipc(spark.range(1), path, "id")
+    for bad in ([(1, "x"), (1, "y")], [(None, "x")]):
+        with pytest.raises(ValueError):
+            files.write_arrow_ipc(spark.createDataFrame(bad, "rowid long, name string"), f"{tmp_path}/bad", "rowid")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["store"]
+    files.write_arrow_ipc(spark.range(0), f"{tmp_path}/none", "id")
+    assert ArrowLookup(spark, f"{tmp_path}/none", "id").is_empty
+
+
+def test_arrow_ipc_keys_must_rise(spark, tmp_path):
+    for n, ids in enumerate(([2, 1], [1, 1], [1, None])):
+        table = pa.table({"id": pa.array(ids, pa.int64())})
+        with pa.ipc.new_file(f"{tmp_path}/{n}.arrow", table.schema) as w:
+            w.write_table(table)
+        with pytest.raises(ValueError):
+            ArrowLookup(spark, f"{tmp_path}/{n}.arrow", "id")
