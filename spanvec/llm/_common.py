@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: White space that separates words: U+0020 and U+0009 to U+000D.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 NULL_KEY = -(2**63)
+#: A key with more than one row in HOT_SHARE is hot; there are fewer than HOT_SHARE of them.
+HOT_SHARE = 1000
 
 
 def session_ready(spark: SparkSession) -> SparkSession:

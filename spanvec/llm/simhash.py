@@ -25,14 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_words, session_ready, written
+from ._common import HOT_SHARE, byte_words, session_ready, written
 from .components import components
 
 SHINGLE = 4
 SEED = 42
 CLOSE = 4
 BUCKET_LIMIT = 65_536
-HOT_SHARE = 1000
 #: Shingles whose bits are counted at a time; bounds memory for very long texts.
 STEP = 1 << 16
 

@@ -6,7 +6,8 @@ the tokenizer does so too, so the count stays), digested, and looked up.  Each
 digest that is missing is encoded once, wherever its copies are, and appended.
 
 Digests of copies are pre-aggregated before any shuffle, and only one text of
-each missing digest reaches the encoder.
+each missing digest reaches the encoder.  Digests that hold more than one row in
+HOT_SHARE, of which there are fewer than that, get their counts by a broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 from tokenizers import Tokenizer
 
-from ._common import NULL_KEY, per_batch, session_ready, written
+from ._common import HOT_SHARE, NULL_KEY, per_batch, session_ready, written
 from .bpe import SETTLED, SPACES, Seen, byte_chars
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -87,7 +88,8 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048) -> D
             found = spark.createDataFrame([], CACHE_SCHEMA)
         return found.where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
 
-    misses = keys.groupBy("content_digest").agg(F.min(row_key).alias("row_key")).join(known(), "content_digest", "left_anti")
+    distinct = written(keys.groupBy("content_digest").agg(F.min(row_key).alias("row_key"), F.count("*").alias("n")), "distinct")
+    misses = distinct.drop("n").join(known(), "content_digest", "left_anti")
 
     def work(b):
         of = counter(path)
@@ -98,4 +100,8 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048) -> D
     fresh = fresh.select("text", "content_digest").mapInArrow(per_batch(work), "content_digest binary, n_tokens long")
     fresh.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")).select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
     counts = known().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keys.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    n_rows = distinct.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.join(F.broadcast(distinct.where(F.col("n") * HOT_SHARE > n_rows).select("content_digest")), "content_digest"))
+    tagged = keys.join(hot, "content_digest", "left")
+    cold = tagged.where("n_tokens is null").drop("n_tokens").join(counts, "content_digest")
+    return tagged.where("n_tokens is not null").unionByName(cold).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
