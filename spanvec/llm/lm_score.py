@@ -5,8 +5,13 @@ model over the pieces of an existing vocabulary: the probability of a word sums
 over all its segmentations into pieces, by a forward recursion in log space, and
 a text's is the product over its words and an end piece.  The vocabulary file
 holds merge ranks in place of log probabilities, so piece probabilities come from
-the training words: how often each piece is used in the vocabulary's own
-segmentation of them.  Characters outside the vocabulary go by their bytes.
+the training words.  Characters outside the vocabulary go by their bytes.
+
+Each word seen in training is a piece too, which spans that word alone, so that
+the lattice grows with the corpus.  Its count is discounted by a constant that
+the words seen once and twice give; what is taken off goes to the pieces that
+the vocabulary's own segmentation of the word uses.  Pieces are thus learned from
+distinct words, as they have to spell the words that training did not see.
 
 Shape: one pass counts all distinct words (combined in each task before the
 shuffle), so that pieces and lattices are worked out once a distinct word, not
@@ -58,11 +63,16 @@ class Lattice:
                     self.prefixes.setdefault(piece[:k], None)
                 self.prefixes[piece] = log_p[i]
 
-    def log10(self, word: str) -> float:
-        """Forward recursion: f[j] is the log probability of all ways to spell the first j characters."""
+    def log10(self, word: str, whole: float | None = None) -> float:
+        """Forward recursion: f[j] is the log probability of all ways to spell the first j characters.
+
+        whole: natural log probability of the piece that spans the word, if it has one.
+        """
         s = SPACE + word
         into: list[list[float]] = [[] for _ in range(len(s) + 1)]
         into[0].append(0.0)
+        if whole is not None:
+            into[-1].append(whole)
         get, exp, log = self.prefixes.get, math.exp, math.log
         f = 0.0
         for i in range(len(s) + 1):
@@ -108,8 +118,13 @@ def _word_counts(batches):
     yield flush()
 
 
-def piece_log_probabilities(words: DataFrame, n_ends: int, path: str) -> tuple[list[float], float]:
-    """words(word, c): natural log probability of each piece of the vocabulary, and of the end piece.
+def discount(once: int, twice: int) -> float:
+    """What is taken off each seen word's count, from the numbers of words seen once and twice."""
+    return min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+
+def piece_log_probabilities(words: DataFrame, n_words: int, v_words: int, n_ends: int, off: float, path: str) -> tuple[list[float], float, float]:
+    """words(word, c): natural log probability of each piece of the vocabulary and of the end piece, and log of all counts.
 
     Partition sums of piece uses are shuffled by piece; the driver gets one
     number for each piece of the vocabulary.
@@ -118,19 +133,17 @@ def piece_log_probabilities(words: DataFrame, n_ends: int, path: str) -> tuple[l
     def uses(batches):
         sp, total = processor(path), Counter()
         for b in batches:
-            texts = [w.decode("utf-8", "replace") for w in b.column("word").to_pylist()]
-            for ids, n in zip(sp.encode(texts, num_threads=1), b.column("c").to_pylist()):
-                for i in ids:
-                    total[i] += n
+            for ids in sp.encode([w.decode("utf-8", "replace") for w in b.column("word").to_pylist()], num_threads=1):
+                total.update(ids)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["piece", "n"])
 
-    found = words.where("c > 0").select("word", "c").mapInArrow(uses, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    found = words.where("c > 0").select("word").mapInArrow(uses, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     size = processor(path).get_piece_size()
     counts = [0] * size
     for r in found:
         counts[r["piece"]] = r["n"]
-    total = math.log(sum(counts) + n_ends + ALPHA * (size + 1))
-    return [math.log(n + ALPHA) - total for n in counts], math.log(n_ends + ALPHA) - total
+    total = math.log(n_words - off * v_words + off * sum(counts) + n_ends + ALPHA * (size + 1))
+    return [math.log(off * n + ALPHA) - total for n in counts], math.log(n_ends + ALPHA) - total, total
 
 
 def _least_frequent(words: DataFrame, most: int) -> int:
@@ -159,15 +172,17 @@ def lm_scores(docs: DataFrame, path: str, held_out: Column, frequent: int = FREQ
     words = rows.select("text", "held_out").mapInArrow(_word_counts, "word binary, c long, seen long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
     words = written(words, "words")
     n_ends = rows.where(~F.col("held_out")).count()
-    total = words.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
-    n, v = (total["n"] or 0) + n_ends, (total["v"] or 0) + (n_ends > 0)
-    log_p, log_end = piece_log_probabilities(words, n_ends, path)
+    total = words.agg(F.sum("c").alias("n"), *(F.count_if(cond).alias(k) for k, cond in (("v", F.col("c") > 0), ("once", F.col("c") == 1), ("twice", F.col("c") == 2)))).first()
+    n_words, off = total["n"] or 0, discount(total["once"], total["twice"])
+    n, v = n_words + n_ends, total["v"] + (n_ends > 0)
+    log_p, log_end, log_all = piece_log_probabilities(words, n_words, total["v"], n_ends, off, path)
     shared = spark.sparkContext.broadcast(log_p)
 
     def lattices(batches):
         lattice = Lattice(path, shared.value)
         for b in batches:
-            yield b.append_column("lattice", pa.array([lattice.log10(w.decode("utf-8", "replace")) for w in b.column("word").to_pylist()], pa.float64()))
+            whole = [math.log(c - off) - log_all if c else None for c in b.column("c").to_pylist()]
+            yield b.append_column("lattice", pa.array([lattice.log10(w.decode("utf-8", "replace"), p) for w, p in zip(b.column("word").to_pylist(), whole)], pa.float64()))
 
     base = lambda c: math.log10((c + ALPHA) / (n + ALPHA * (v + 1)))
     words = written(words.mapInArrow(lattices, "word binary, c long, seen long, lattice double"), "lattices")

@@ -291,6 +291,17 @@ def test_lm_scores(docs, empty):
     assert all(math.isfinite(r.score) for r in lm_score.lm_scores(docs, path, F.lit(True)).collect())
 
 
+def test_lattice_holds_training_words(spark):
+    """Piece, word and end probabilities add up to one; words that training did not see have none of their own."""
+    path = tokenizer("piece_bpe_32k.model")
+    c = {"river": 40, "bank": 20, "fox": 1, "jumps": 1, "dog": 2}
+    off = lm_score.discount(2, 1)
+    df = spark.createDataFrame([(w.encode(), n) for w, n in c.items()] + [(b"unseen", 0)], "word binary, c long")
+    log_p, log_end, log_all = lm_score.piece_log_probabilities(df, sum(c.values()), len(c), 10, off, path)
+    assert sum(map(math.exp, log_p)) + math.exp(log_end) + sum((n - off) / math.exp(log_all) for n in c.values()) == pytest.approx(1)
+    assert off == 0.5 and lm_score.discount(0, 3) == 0.5 and lm_score.discount(9, 0) == 0.9 and lm_score.discount(1, 100) == 0.1
+
+
 def test_lattice_sums_all_segmentations():
     sp = lm_score.processor(tokenizer("piece_bpe_32k.model"))
     size = sp.get_piece_size()
@@ -310,6 +321,7 @@ def test_lattice_sums_all_segmentations():
 
     for w in ("the", "thereon", "naïve", "\U0001f642x"):
         assert lattice.log10(w) == pytest.approx(math.log10(ways("▁" + w)))
+        assert lattice.log10(w, -3.0) == pytest.approx(math.log10(ways("▁" + w) + math.exp(-3.0)))
     assert math.isfinite(lattice.log10("ab" * 20_000))
 
 
