@@ -8,7 +8,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanvec.llm import bpe, mixing, quality_classifier, secrets, simhash
 from spanvec.llm._common import documents, session_ready, work_dir
@@ -18,12 +17,9 @@ KEEP = 0.7
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below KEEP go. Rows without an id are scored as one, by their mean."""
+    """Documents that score below KEEP go, each row judged by its own text."""
     session_ready(spark)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = quality_classifier.classify(docs, labels, id_remainder(4) == 2)
-    rejected = scores.groupBy("doc_id").agg(F.avg("score").alias("score")).where(F.col("score") < KEEP).select(F.col("doc_id").alias("_rejected"))
-    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("_rejected")), "left_anti")
+    return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), KEEP, id_remainder(4) == 2)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,6 +162,14 @@ def fit(labelled: DataFrame, max_labels: int = MAX_LABELS) -> Model:
     return model
 
 
+def train(x: DataFrame, labels: DataFrame, held_out=None, max_labels: int = MAX_LABELS) -> Model:
+    """x(doc_id, x), labels(doc_id, quality, ...): the model of the labelled rows; those that are held out are not learned from."""
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    if held_out is not None:
+        known = known.where(~held_out)
+    return fit(written(x.join(known, "doc_id"), "known"), max_labels)
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out=None, max_labels: int = MAX_LABELS) -> DataFrame:
     """docs(doc_id, text, ...), labels(doc_id, quality, ...) to (doc_id, score), a row for each row of docs.
 
@@ -173,10 +181,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out=None, max_labels: int
     from; repeated rows have equal scores.
     """
     x = written(with_statistics(docs), "statistics")
-    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    if held_out is not None:
-        known = known.where(~held_out)
-    model = fit(x.join(known, "doc_id"), max_labels)
+    model = train(x, labels, held_out, max_labels)
 
     def run(batches):
         for b in batches:
@@ -184,3 +189,18 @@ def classify(docs: DataFrame, labels: DataFrame, held_out=None, max_labels: int
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
     return x.mapInArrow(run, "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float, held_out=None, max_labels: int = MAX_LABELS) -> DataFrame:
+    """Rows of docs that score ``least`` or more, with all their columns; scores are those of ``classify``.
+
+    Each row is judged by its own text where it is, whatever its id: texts
+    pass twice through the workers but are not shuffled.
+    """
+    model = train(with_statistics(docs), labels, held_out, max_labels)
+
+    def score(text: pa.Array) -> pa.Array:
+        x = np.array([statistics(t) for t in text.cast(pa.binary()).to_pylist()], np.float32).astype(float)
+        return pa.array(model.score(x.reshape(-1, len(STATISTICS))), pa.float64())
+
+    return docs.where(F.arrow_udf(score, "double")(F.col("text").cast("string")) >= least)

@@ -335,7 +335,10 @@ def test_classifier(spark, docs, empty):
     got = quality_classifier.classify(docs, odd).collect()
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in quality_classifier.classify(docs, odd.limit(0)).collect()} == {0.5}
-    assert quality_classifier.classify(empty, odd).count() == 0
+    assert quality_classifier.classify(empty, odd).count() == quality_classifier.keep_good(empty, odd, 0.5).count() == 0
+    low = sorted({r.score for r in got})[-1]
+    kept = quality_classifier.keep_good(docs, odd, low)
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r.doc_id for r in got if r.score >= low), key=str)
     knots, levels = quality_classifier.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert levels.tolist() == [0, 0.5, 0.5, 1] and knots.tolist() == [1, 2, 3, 4]
 
