@@ -186,12 +186,12 @@ def _ivf(spark, sf, **config) -> Registry:
 
 @add("ivf_knn_l2")
 def ivf_knn_l2(spark, sf):
-    return vector_search(_ivf(spark, sf, nprobe=6), "main.public.embeddings", "embedding", vector(spark, sf), 10)
+    return vector_search(_ivf(spark, sf), "main.public.embeddings", "embedding", vector(spark, sf), 10)
 
 
 @add("ivf_knn_filtered")
 def ivf_knn_filtered(spark, sf):
-    entry = _ivf(spark, sf, nprobe=6).get("main::public::embeddings::embedding")
+    entry = _ivf(spark, sf).get("main::public::embeddings::embedding")
     return KnnPlan("embeddings", entry, tuple(vector(spark, sf)), 10, ("label < 8",)).execute()
 
 
