@@ -3,8 +3,9 @@
 Patterns find assignments, access keys and hexadecimal runs; these base spans
 always stay.  Values of base spans and other long runs of letters and digits
 are candidates.  Their hashes are counted over the corpus by distinct
-repositories and owners: a value that many owners have is a copied example, one
-that few have and that looks random is reported as live.
+repositories and owners: a value that many owners have, or that is in many
+repositories for each of its owners, is a copied example; one that few have and
+that looks random is reported as live.
 
 Texts are scanned once and do not move; only candidates are shuffled, by hash,
 counts being pre-aggregated.  Offsets are in code points, ends exclusive.
@@ -26,6 +27,8 @@ LONG_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|00000000|12345678"
 LEAST_LIVE, LEAST_DISTINCT = 16, 8
 MOST_OWNERS = 3
+#: Distinct repositories for each owner of a value, on average, above which it counts as copied.
+MOST_REPOSITORIES = 10
 MASK = "[SECRET]"
 
 _NONE = "cast(array() as array<struct<s:int,e:int,v:string>>)"
@@ -86,7 +89,7 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """docs(doc_id, text, owner, repository, ...) to (doc_id, of_text, n_assign, n_access, n_hex, base, all_spans), a row for each row.
 
     Spans are arrays of (s, k, e) by start, then kind; k counts in KINDS.
@@ -98,7 +101,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mos
     rows = written(_scan(docs, owner, repository), "secrets")
     found = rows.where(F.size("found") > 0).select("doc_id", "of_text", F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repository", F.lit("\0")).alias("repository"), F.explode("found").alias("x")).select("*", "x.*").drop("x")
     owners = found.groupBy("h").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
-    live = found.join(owners.where(F.col("owners") <= most_owners), "h").groupBy("doc_id", "of_text").agg(F.collect_set(F.struct("s", F.lit(3).alias("k"), "e")).alias("added"))
+    few = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories * F.col("owners"))
+    live = found.join(owners.where(few), "h").groupBy("doc_id", "of_text").agg(F.collect_set(F.struct("s", F.lit(3).alias("k"), "e")).alias("added"))
     rows, live = rows.alias("r"), live.alias("l")
     all_ = rows.join(live, F.col("r.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("r.of_text") == F.col("l.of_text")), "left")
     spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "added")))
