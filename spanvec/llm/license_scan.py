@@ -4,9 +4,9 @@ Templates are winnowed: of every ``WINDOW`` neighbouring hashes of ``GRAM`` word
 the least is kept, and an inverted index maps it to templates and positions.  A
 text looks up all its word triples (not only winnowed ones, so no template passage
 of GRAM + WINDOW - 1 words is missed); triples with a word that no template has
-are passed over.  Hits of a template on neighbouring diagonals make a candidate,
-which a local alignment within a band around them turns into matched coverage and
-a span.
+are passed over.  A local alignment within a band around a hit's diagonal gives a
+passage; its words are masked and the hits left are aligned again, so that
+notices that follow each other closely are all found.
 
 The index has the size of the templates and travels with the code; texts are
 scanned where they are, nothing is shuffled.
@@ -71,47 +71,59 @@ class Index:
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i in at.tolist():
             for t, j in self.grams[int(keys[i])]:
-                hits[t].append((i - j, i))
+                hits[t].append((i, j))
         offsets = [m.span() for m in WORD.finditer(low_ascii(text))]
-        out = []
-        for t, diagonals in hits.items():
-            diagonals.sort()
-            group = [diagonals[0]]
-            for d in [*diagonals[1:], (1 << 60, 0)]:
-                if d[0] - group[-1][0] > BAND:
-                    got = self.align(w, t, group[0][0], group[-1][0])
-                    if got and got[0] >= LEAST_COVERAGE:
-                        out.append((self.names[t], got[0], offsets[got[1]][0], offsets[got[2]][1]))
-                    group = []
-                group.append(d)
+        out, codes = [], w.tolist()
+        for t, places in hits.items():
+            for p in self.pieces(codes, t, places):
+                coverage = p[4] / len(self.words[t])
+                if coverage >= LEAST_COVERAGE:
+                    out.append((self.names[t], coverage, offsets[p[0]][0], offsets[p[1]][1]))
         return sorted(out, key=lambda x: (x[2], x[3], x[0]))
 
-    def align(self, w: np.ndarray, t: int, low: int, high: int) -> tuple[float, int, int] | None:
-        """Local alignment of template t with the words on diagonals low - BAND to high + BAND.
+    def pieces(self, w: list[int], t: int, hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+        """Disjoint passages of the text that align with template t, one or more for all hits (text word, template word).
 
-        A match counts 2, a gap or a mismatch -1.  Returns matched words over
-        the template's length, first and last matched word of the text.
+        A passage is first and last word of the text, first and last word of the
+        template, and number of matched words.  Its words are masked, and what
+        is left of the hits is aligned again, so repeated notices are all found.
         """
-        words, first, last = self.words[t], low - BAND, high + BAND
-        width = last - first + 1
-        none = (0, 0, -1, -1)
+        out, taken = [], set()
+        for i, j in hits:
+            while taken.isdisjoint(range(i, i + GRAM)):
+                s = self.align(w, t, i - j, taken)
+                out.append(s)
+                taken.update(range(s[0], s[1] + 1))
+        return sorted(out)
+
+    def align(self, w: list[int], t: int, diagonal: int, taken: set[int]) -> tuple[int, int, int, int, int]:
+        """Local alignment of template t with the words on diagonals up to BAND from the given one; words in ``taken`` are walls.
+
+        A match counts 2, a gap or a mismatch -1.  Returns first and last
+        matched word of the text and of the template, and the matched words.
+        """
+        words, first, width = self.words[t], diagonal - BAND, 2 * BAND + 1
+        none = (0, 0, -1, -1, -1, -1)
         row, best = [none] * (width + 1), none
         for j, word in enumerate(words):
             new, left = [none] * (width + 1), none
             for k in range(width):
                 i = j + first + k
-                if not 0 <= i < len(w):
+                if not 0 <= i < len(w) or i in taken:
                     left = none
                     continue
-                s, m, a, b = row[k]
-                cell = (s + 2, m + 1, i if a < 0 else a, i) if w[i] == word else (s - 1, m, a, b)
+                s, m, a, b, c, d = row[k]
+                cell = (s + 2, m + 1, i if a < 0 else a, i, j if c < 0 else c, j) if w[i] == word else (s - 1, m, a, b, c, d)
                 up = row[k + 1]
-                cell = max(cell, (up[0] - 1, *up[1:]), (left[0] - 1, *left[1:]), key=lambda x: x[0])
+                if up[0] - 1 > cell[0]:
+                    cell = (up[0] - 1, *up[1:])
+                if left[0] - 1 > cell[0]:
+                    cell = (left[0] - 1, *left[1:])
                 new[k] = left = cell if cell[0] > 0 else none
                 if left[:2] > best[:2]:
                     best = left
             row = new
-        return (best[1] / len(words), best[2], best[3]) if best[1] else None
+        return (*best[2:], best[1])
 
 
 @lru_cache(maxsize=4)

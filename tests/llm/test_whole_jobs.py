@@ -13,3 +13,11 @@ def test_secret_copied_inside_one_source(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.a for r in secrets.scan(df).select("doc_id", secrets.spelled(F.col("all_spans")).alias("a")).collect()}
     assert got == {i: "" if i < 40 else "live:2:30" for i, *_ in rows}
+
+
+def test_repeated_notices_are_all_found():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for name, n in (("all-rights-reserved", 50), ("mit-notice", 7), ("cc-by-nc-4.0-notice", 4), ("apache-2.0-notice", 3)):
+        notice = license_scan.TEMPLATES[name].strip() + "\n"
+        got = [m for m in index.matches(notice * n) if m[0] == name]
+        assert [m[2] for m in got] == [i * len(notice) for i in range(n)] and all(m[1] == 1 for m in got)
