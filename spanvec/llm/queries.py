@@ -60,8 +60,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(documents(spark, sf_dir))
     span = lambda m: F.concat_ws(":", m["template"], m["s"].cast("string"), m["e"].cast("string"))
     return found.select(
-        "doc_id", F.size("matches").cast("long").alias("n_matches"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0)).alias("coverage"),
-        F.array_join(F.transform("matches", span), ",").alias("spans"),
+        "doc_id", F.size("matches").cast("long").alias("n_matches"), F.coalesce(F.array_max(F.transform(F.concat("matches", "partial"), lambda m: m["coverage"])), F.lit(0.0)).alias("coverage"),
+        F.array_join(F.transform("matches", span), ",").alias("spans"), F.array_join(F.transform("partial", span), ",").alias("partial_spans"),
     )
 
 

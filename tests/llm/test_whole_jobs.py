@@ -21,3 +21,21 @@ def test_repeated_notices_are_all_found():
         notice = license_scan.TEMPLATES[name].strip() + "\n"
         got = [m for m in index.matches(notice * n) if m[0] == name]
         assert [m[2] for m in got] == [i * len(notice) for i in range(n)] and all(m[1] == 1 for m in got)
+
+
+def test_interrupted_partial_and_edited_licenses(spark):
+    text = license_scan.TEMPLATES["mit"]
+    words = text.split()
+    half = len(words) // 2
+    index = license_scan.Index(license_scan.TEMPLATES)
+    header = " ".join(f"page{i}" for i in range(30))
+    cut = " ".join([*words[:half], header, *words[half:]])
+    assert [m for m in index.matches(cut) if m[0] == "mit"] == [("mit", 1.0, 0, len(cut.rstrip(".")))]
+    notice = "Released under an MIT License"
+    assert ("mit-notice", 0.8, 0, len(notice)) in index.matches(notice)
+    part = " ".join(words[: int(0.7 * len(words))])
+    (r,) = license_scan.scan(spark.createDataFrame([(1, part)], "doc_id long, text string")).collect()
+    assert not [m for m in r.matches if m.template == "mit"]
+    (m,) = [m for m in r.partial if m.template == "mit" and m.coverage > 0.5]
+    assert 0.65 < m.coverage < 0.75 and (m.s, m.e) == (0, len(part.rstrip(".,")))
+    assert len(index.matches((text + "\n") * 3)) == 3
