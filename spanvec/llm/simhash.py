@@ -12,6 +12,11 @@ holds distinct fingerprints only, and one above ``bucket_limit`` is not
 gathered: its members are linked by shared midpoints instead (two fingerprints
 are within 4 bits just if some value lies within 2 bits of both), which costs a
 fixed number of rows for each member and is exact as well.
+
+Texts whose sets of word shingles are alike lie farther apart than that, around
+10 bits at a Jaccard similarity of 0.8.  With ``similarity`` they are linked
+too: min-hash bands propose pairs of distinct texts, the exact similarity of
+the shingle sets decides.
 """
 
 from __future__ import annotations
@@ -34,6 +39,10 @@ CLOSE = 4
 BUCKET_LIMIT = 65_536
 #: Shingles whose bits are counted at a time; bounds memory for very long texts.
 STEP = 1 << 16
+#: Shingle and similarity of near copies where no contract names others.
+LIKE_SHINGLE, LIKE = 5, 0.8
+#: Min-hash bands and hashes in each; at a similarity of 0.8 all bands miss a pair with a probability of 3e-6.
+BANDS, IN_BAND = 24, 4
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -139,9 +148,80 @@ def fingerprint_links(distinct: DataFrame, bucket_limit: int = BUCKET_LIMIT, m:
     return links.unionByName(meet.where(F.size("fps") > 1).select(F.explode("fps").alias("a"), "b").where("a <> b"))
 
 
-def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, shingle: int = SHINGLE, m: int | None = None) -> DataFrame:
+def shingle_hashes(text: bytes | None, shingle: int = LIKE_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a shorter text is one shingle, one without words has none."""
+    words = byte_words(text)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+
+
+def _banded(shingle: int):
+    odd = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 63, (BANDS * IN_BAND, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches):
+        for b in batches:
+            bands = []
+            for text in b.column("text").cast(pa.binary()).to_pylist():
+                h = shingle_hashes(text, shingle)
+                mixed = [int(((h ^ x) * y).min()) for x, y in odd] if len(h) else []
+                bands.append([_signed(xxhash.xxh64_intdigest(np.array([i // IN_BAND, *mixed[i : i + IN_BAND]], np.uint64).tobytes())) for i in range(0, len(mixed), IN_BAND)])
+            yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("of_text"), pa.array(bands, pa.list_(pa.int64()))], ["fp", "of_text", "bands"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingle_hashes(t, shingle).view(np.int64) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("of_text"), pa.array(sets, pa.list_(pa.int64()))], ["of_text", "grams"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x_grams"), b.column("y_grams")):
+                x, y = (np.asarray(v.values) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_links(docs: DataFrame, similarity: float = LIKE, shingle: int = LIKE_SHINGLE, simhash_shingle: int = SHINGLE) -> DataFrame:
+    """Links (a, b) of fingerprints more than CLOSE bits apart that have texts of the given Jaccard similarity or more."""
+    session_ready(docs.sparkSession)
+    text = F.col("text").cast("string")
+    texts = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("of_text"), text.alias("text"))
+
+    def fingerprints(batches):
+        for b in batches:
+            fps = [_signed(fingerprint(t, simhash_shingle)) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), b.column("of_text"), b.column("text")], ["fp", "of_text", "text"])
+
+    fp_bands = lambda batches: _banded(shingle)(fingerprints(batches))
+    banded = written(texts.mapInArrow(fp_bands, "fp long, of_text long, bands array<long>").dropDuplicates(["of_text"]), "bands")
+    keys = banded.select("fp", "of_text", F.explode("bands").alias("band"))
+    shared = keys.join(keys.groupBy("band").agg(F.countDistinct("fp").alias("n")).where("n > 1").select("band"), "band")
+    x, y = shared.select("band", F.col("fp").alias("a"), F.col("of_text").alias("x")), shared.select("band", F.col("fp").alias("b"), F.col("of_text").alias("y"))
+    far = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > CLOSE)
+    pairs = written(x.join(y, "band").where(far).select("a", "b", "x", "y").distinct(), "pairs")
+    needed = pairs.select(F.col("x").alias("of_text")).unionByName(pairs.select(F.col("y").alias("of_text"))).distinct()
+    sets = written(texts.join(needed, "of_text", "left_semi").dropDuplicates(["of_text"]).mapInArrow(_sets(shingle), "of_text long, grams array<long>"), "shingles")
+    both = pairs.join(sets.select(F.col("of_text").alias("x"), F.col("grams").alias("x_grams")), "x").join(sets.select(F.col("of_text").alias("y"), F.col("grams").alias("y_grams")), "y")
+    return both.select("a", "b", "x_grams", "y_grams").mapInArrow(_alike(similarity), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, shingle: int = SHINGLE, m: int | None = None, similarity: float | None = LIKE) -> DataFrame:
     """docs(doc_id, text, ...) to (doc_id, fingerprint, component_id), a row for each row of docs.
 
+    Fingerprints within 4 bits are linked; unless ``similarity`` is None, so are
+    texts whose sets of 5-word shingles have that Jaccard similarity or more.
+
     Null texts count as empty and have fingerprint 0, which links like any
     other.  A null doc_id is linked too; component_id is the smallest id that
     is not null, or null if the component has none.  Repeated rows give
@@ -149,7 +229,10 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, shingle:
     """
     fps = written(with_fingerprints(docs, shingle), "fingerprints")
     least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
-    roots = written(components(fingerprint_links(least.select("fp"), bucket_limit, m)), "roots")
+    links = fingerprint_links(least.select("fp"), bucket_limit, m)
+    if similarity is not None:
+        links = links.unionByName(similar_links(docs, similarity, simhash_shingle=shingle))
+    roots = written(components(links), "roots")
     linked = least.join(roots, least.fp == roots.node).select("fp", "root", "low")
     lows = linked.groupBy("root").agg(F.min("low").alias("component"))
     of_fp = least.join(linked.select("fp", "root").join(lows, "root").select("fp", "component"), "fp", "left").select(
@@ -164,12 +247,12 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, shingle:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, similarity: float | None = LIKE) -> DataFrame:
     """Keep the row with the smallest doc_id of each component, and one of repeated rows.
 
     Rows without a doc_id stay: no decision can be tied to them.
     """
-    verdict = near_duplicates(docs, bucket_limit)
+    verdict = near_duplicates(docs, bucket_limit, similarity=similarity)
     gone = verdict.where("doc_id <> component_id").select("doc_id").distinct()
     known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return known.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
-from spanvec.llm import license_scan, secrets
+from spanvec.llm import license_scan, secrets, simhash
 from pyspark.sql import functions as F
 
 KEY = "sk9Qw8Er7Ty6Ui5Op4As3Df2Gh1J"
@@ -39,3 +39,19 @@ def test_interrupted_partial_and_edited_licenses(spark):
     (m,) = [m for m in r.partial if m.template == "mit" and m.coverage > 0.5]
     assert 0.65 < m.coverage < 0.75 and (m.s, m.e) == (0, len(part.rstrip(".,")))
     assert len(index.matches((text + "\n") * 3)) == 3
+
+
+def test_near_copies_beyond_four_bits(spark):
+    """Every pair of texts with 5-word Jaccard of 0.8 or more loses its later one; op1's links stay as they are."""
+    base = [f"w{i * 7919 % 1009}" for i in range(60)]
+    rows = [(0, " ".join(base), "a")]
+    for i in range(1, 25):
+        w = list(base)
+        w[2 * i + 4] = f"other{i}"
+        rows.append((i, " ".join(w), "a"))
+    rows.append((50, " ".join(f"v{i}" for i in range(60)), "a"))
+    bits = [(simhash.fingerprint(rows[0][1].encode()) ^ simhash.fingerprint(t.encode())).bit_count() for _, t, _ in rows]
+    assert max(bits[1:25]) > simhash.CLOSE
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == {0, 50}
+    assert len({r.component_id for r in simhash.near_duplicates(df, similarity=None).collect()}) > 2
