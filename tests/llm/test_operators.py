@@ -211,19 +211,83 @@ def test_line_rules(spark, line, bad):
     assert spark.range(1).select(quality_rules.line_fails(F.lit(line))).first()[0] == bad
 
 
-@given(st.lists(st.integers(0, 50), min_size=1, max_size=6), st.integers(0, 60), st.booleans())
-def test_sainte_lague(votes, seats, capped):
-    caps = [v // 2 for v in votes] if capped else None
-    want = [0] * len(votes)
+def slow_seats(votes, seats, caps=None):
+    got = [0] * len(votes)
     for _ in range(seats):
-        open_ = [i for i, v in enumerate(votes) if v > 0 and (caps is None or want[i] < caps[i])]
+        open_ = [i for i, v in enumerate(votes) if v > 0 and (caps is None or got[i] < caps[i])]
         if not open_:
             break
-        want[max(open_, key=lambda i: (votes[i] / (2 * want[i] + 1), -i))] += 1
-    assert mixing.sainte_lague(votes, seats, caps).tolist() == want
-
-
-def test_mixing(spark, docs, empty, table):
+        got[max(open_, key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
+    return got
+
+
+def test_sainte_lague(spark):
+    """Many groups at once, with and without caps that bind, ties and zero votes."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for g in range(300):
+        n, seats = int(rng.integers(1, 9)), int(rng.integers(0, 70))
+        votes = rng.integers(0, [3, 50, 1000][g % 3], n).tolist()
+        caps = (rng.integers(0, 12, n).tolist(), [v // 2 for v in votes], [10**6] * n)[g // 3 % 3]
+        rows += [(g, i, float(v), seats, c) for i, (v, c) in enumerate(zip(votes, caps))]
+        want |= {(g, i): x for i, x in enumerate(slow_seats(votes, seats, caps))}
+    df = spark.createDataFrame(rows, "g int, i int, v double, s long, c long")
+    assert {(r.g, r.i): r.out for r in mixing.apportion(df, ["g"], "i", "v", "s", "c", "out").collect()} == want
+
+
+def slow_targets(sizes, weights, cap):
+    """The excess of capped sources is shared again until none is above its cap."""
+    total, fixed = sum(sizes), {}
+    while True:
+        open_ = [i for i in range(len(sizes)) if i not in fixed]
+        w = sum(weights[i % len(weights)] for i in open_)
+        got = {i: (total - sum(fixed.values())) * weights[i % len(weights)] / w for i in open_}
+        over = {i: cap * sizes[i] for i in open_ if got[i] > cap * sizes[i]}
+        if not over:
+            return [(fixed | got)[i] for i in range(len(sizes))]
+        fixed |= over
+
+
+@pytest.mark.parametrize("sizes", [[10, 1000], [5, 5, 5, 5], [1, 2, 900, 4, 30, 0, 7000], [0, 3]])
+def test_targets(spark, sizes):
+    names = [*"abcdefg"[: len(sizes) - 1], None]
+    df = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long")
+    for weights in ((1, 1), (1, 2, 3)):
+        got = {r.source: r.target for r in mixing.targets(df, weights, 3).collect()}
+        assert [got[s] for s in names] == pytest.approx(slow_targets(sizes, weights, 3))
+
+
+def slow_taken(rows, block, seed=mixing.SEED):
+    """rows: (doc_id, source, size, h, target) of one shard, and its quota: words taken one by one."""
+    order = sorted(rows, key=lambda r: (r["h"], r["doc_id"] is None, r["doc_id"] or 0, r["size"]))
+    words = [i for i, r in enumerate(order) for _ in range(r["size"])]
+    quota = min(order[0]["blocks"], 3 * len(words) // block)
+    start = order[0]["start_block"] % max(1, -(-len(words) // block)) * block
+    took = Counter(words[(start + k) % len(words)] for k in range(quota * block)) if words else Counter()
+    return sorted((str(r["doc_id"]), r["size"], took[i]) for i, r in enumerate(order))
+
+
+def test_mix_takes_runs_of_blocks(spark):
+    """Every word that a quota takes, counted one by one, in sources of one shard each; equal and null ids included."""
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 9 == 0 else i % 50, " ".join(["w"] * int(rng.integers(0, 40))), "abc"[i % 3] if i % 4 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    shares = mixing._shares(df, mixing.WEIGHTS, mixing.CAP, mixing.SEED, 10**6)
+    block = shares.first().block
+    hashed = spark.createDataFrame([(i, s, len(t.split())) for i, t, s in rows], "doc_id long, source string, size long").withColumn("h", F.xxhash64(F.lit(mixing.SEED), "doc_id", "size", F.lit(0).cast("long")))
+    target = {r.source: r.target for r in mixing.mix(df).collect()}
+    names = sorted(target, key=lambda s: (s is None, s))
+    size = Counter()
+    for i, t, s in rows:
+        size[s] += len(t.split())
+    seats = slow_seats([target[s] for s in names], round(sum(size.values()) / block), [3 * size[s] // block for s in names])
+    of_start = {r.at: r.x for r in spark.range(4).select(F.col("id").cast("int").alias("at"), F.xxhash64(F.lit(mixing.SEED + 1), F.col("id").cast("int"), F.lit(0).cast("long")).alias("x")).collect()}
+    got = mixing.mix(df, shard_docs=10**6).collect()
+    for at, s in enumerate(names):
+        own = [r.asDict() | {"blocks": seats[at], "start_block": of_start[at]} for r in hashed.collect() if r.source == s]
+        assert sorted((str(r.doc_id), r.size, r.taken) for r in got if r.source == s) == slow_taken(own, block)
+
+
+def test_mixing(spark, docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and all(0 <= r.taken <= 3 * r.size for r in got)
     assert sorted(((r.doc_id, r.size) for r in got), key=str) == sorted(((i, len(words(t))) for i, t, *_ in ROWS), key=str)
@@ -235,7 +299,33 @@ def test_mixing(spark, docs, empty, table):
     for s in {r.source for r in a}:
         own = [r for r in a if r.source == s]
         assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.02)
-    assert mixing.targets([10, 1000], (1, 1)) == pytest.approx([30, 980])
+
+
+def test_mix_hot_rows(spark):
+    """A third of all rows without id and with one size fall into many shards, and rows of one id too."""
+    rows = [(None, "a b c", "s")] * 6_000 + [(7, "a b c d", "s")] * 3_000 + [(i, "x y " * (i % 5), "t") for i in range(9_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixing._shares(df, mixing.WEIGHTS, mixing.CAP, mixing.SEED, 1000).where("doc_id is null").agg(F.max("n")).first()[0] <= mixing.COPIES
+    got = mixing.mix(df, shard_docs=1000)
+    assert got.count() == len(rows)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect():
+        assert r.n == pytest.approx(r.t, rel=0.02)
+
+
+def test_apply_mix_odd_rows(spark, docs, empty):
+    """Columns named like those inside pass; rows without an id are mixed too; documents without words go."""
+    odd = docs.withColumns({c: F.lit("own") for c in ("copies", "d", "mean", "n", "taken", "target", "block", "at")})
+    out = mixing.apply_mix(odd)
+    kept = out.collect()
+    assert out.columns == odd.columns and all(r.copies == r.d == r.at == "own" for r in kept)
+    assert all(words(r.text) for r in kept) and mixing.apply_mix(empty).count() == 0
+    want = Counter()
+    for r in mixing.mix(odd).collect():
+        want[r.doc_id, r.source, r.size] += r.taken
+    got = Counter((r.doc_id, r.source, len(words(r.text))) for r in kept)
+    for key in want:
+        n = sum((i, s, len(words(t))) == key for i, t, s, _ in ROWS)
+        assert abs(got[key] - (want[key] / key[2] if key[2] else 0)) <= n
 
 
 def test_licenses(docs, empty):
