@@ -21,14 +21,14 @@ HOT_SHARE = 1000
 def session_ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and keep Arrow batches small.
 
-    A batch is cut at a number of rows, not bytes; texts may be megabytes long,
-    so a batch takes few of them.
+    Texts may be megabytes long, so a batch is cut at a number of rows and of bytes.
     """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 

@@ -15,8 +15,11 @@ fixed number of rows for each member and is exact as well.
 
 Texts whose sets of word shingles are alike lie farther apart than that, around
 10 bits at a Jaccard similarity of 0.8.  With ``similarity`` they are linked
-too: min-hash bands propose pairs of distinct texts, the exact similarity of
-the shingle sets decides.
+too: min-hash bands bring distinct texts together, the exact similarity of the
+shingle sets decides.  A band does not give all its pairs.  First each text meets
+the least one of its band, which joins most groups of copies.  Bands that still
+hold several components are gathered, or if they are large, cut into blocks that
+meet two by two, and there the texts outside the largest component meet all others.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import HOT_SHARE, byte_words, session_ready, written
@@ -43,6 +46,8 @@ STEP = 1 << 16
 LIKE_SHINGLE, LIKE = 5, 0.8
 #: Min-hash bands and hashes in each; at a similarity of 0.8 all bands miss a pair with a probability of 3e-6.
 BANDS, IN_BAND = 24, 4
+#: Shingle hashes that a task gathers for one band at most (8 bytes each).
+GATHERED = 1 << 20
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -65,16 +70,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) for every row of docs; text null: fingerprint 0. No shuffle."""
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp long, keys...) for every row of docs; text null: fingerprint 0. No shuffle."""
     session_ready(docs.sparkSession)
+    keys = keys or {}
+    names = ["doc_id", "fp", *keys]
 
     def run(batches):
         for b in batches:
             fps = [_signed(fingerprint(t, shingle)) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), *b.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(k) for k, c in keys.items()))
+    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in names))
 
 
 def agreeing(n: int) -> int:
@@ -155,17 +163,19 @@ def shingle_hashes(text: bytes | None, shingle: int = LIKE_SHINGLE) -> np.ndarra
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
 
 
-def _banded(shingle: int):
+def _banded(simhash_shingle: int, shingle: int):
     odd = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 63, (BANDS * IN_BAND, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for b in batches:
-            bands = []
+            fps, sizes, bands = [], [], []
             for text in b.column("text").cast(pa.binary()).to_pylist():
                 h = shingle_hashes(text, shingle)
                 mixed = [int(((h ^ x) * y).min()) for x, y in odd] if len(h) else []
+                fps.append(_signed(fingerprint(text, simhash_shingle)))
+                sizes.append(len(h))
                 bands.append([_signed(xxhash.xxh64_intdigest(np.array([i // IN_BAND, *mixed[i : i + IN_BAND]], np.uint64).tobytes())) for i in range(0, len(mixed), IN_BAND)])
-            yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("of_text"), pa.array(bands, pa.list_(pa.int64()))], ["fp", "of_text", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), b.column("of_text"), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["fp", "of_text", "n", "bands"])
 
     return run
 
@@ -192,28 +202,83 @@ def _alike(similarity: float):
     return run
 
 
-def similar_links(docs: DataFrame, similarity: float = LIKE, shingle: int = LIKE_SHINGLE, simhash_shingle: int = SHINGLE) -> DataFrame:
-    """Links (a, b) of fingerprints more than CLOSE bits apart that have texts of the given Jaccard similarity or more."""
+def across(fp: np.ndarray, component: np.ndarray, chunk: np.ndarray, grams: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between the components of the given texts that pairs of the similarity or more make, a spanning forest of them.
+
+    Each text outside the largest component meets all others; if there are two chunks, those of the other chunk.
+    """
+    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+    ids = np.unique(np.concatenate(grams), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    _, own = np.unique(component, return_inverse=True)
+    largest, two = np.bincount(own).argmax(), len(np.unique(chunk)) > 1
+    mark, out = np.zeros(ids.max() + 1, np.int64), []
+    for i in np.nonzero(own != largest)[0].tolist():
+        mine = ids[starts[i] : starts[i] + sizes[i]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[ids], starts)
+        mark[mine] = 0
+        near = both >= similarity * (sizes + sizes[i] - both)
+        if two:
+            near &= chunk != chunk[i]
+        for j in np.nonzero(near)[0].tolist():
+            if own[j] != own[i]:
+                out.append((int(fp[i]), int(fp[j])))
+                own[own == own[j]] = own[i]
+    return out
+
+
+def _blocks(similarity: float):
+    def run(batches):
+        for b in batches:
+            links = []
+            for row in b.column("members"):
+                m = row.values
+                fp, component, chunk = (np.asarray(m.field(k)) for k in ("fp", "component", "chunk"))
+                links += across(fp, component, chunk, [np.asarray(g.values) for g in m.field("grams")], similarity)
+            ab = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, links: DataFrame, similarity: float = LIKE, shingle: int = LIKE_SHINGLE, simhash_shingle: int = SHINGLE, gathered: int = GATHERED) -> DataFrame:
+    """links(a, b) of fingerprints, and more that connect those of texts of the given Jaccard similarity or more.
+
+    Texts count as one if their 64-bit digests are equal.
+    """
     session_ready(docs.sparkSession)
     text = F.col("text").cast("string")
     texts = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("of_text"), text.alias("text"))
-
-    def fingerprints(batches):
-        for b in batches:
-            fps = [_signed(fingerprint(t, simhash_shingle)) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), b.column("of_text"), b.column("text")], ["fp", "of_text", "text"])
-
-    fp_bands = lambda batches: _banded(shingle)(fingerprints(batches))
-    banded = written(texts.mapInArrow(fp_bands, "fp long, of_text long, bands array<long>").dropDuplicates(["of_text"]), "bands")
-    keys = banded.select("fp", "of_text", F.explode("bands").alias("band"))
-    shared = keys.join(keys.groupBy("band").agg(F.countDistinct("fp").alias("n")).where("n > 1").select("band"), "band")
-    x, y = shared.select("band", F.col("fp").alias("a"), F.col("of_text").alias("x")), shared.select("band", F.col("fp").alias("b"), F.col("of_text").alias("y"))
-    far = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > CLOSE)
-    pairs = written(x.join(y, "band").where(far).select("a", "b", "x", "y").distinct(), "pairs")
-    needed = pairs.select(F.col("x").alias("of_text")).unionByName(pairs.select(F.col("y").alias("of_text"))).distinct()
-    sets = written(texts.join(needed, "of_text", "left_semi").dropDuplicates(["of_text"]).mapInArrow(_sets(shingle), "of_text long, grams array<long>"), "shingles")
+    banded = written(texts.mapInArrow(_banded(simhash_shingle, shingle), "fp long, of_text long, n long, bands array<long>").dropDuplicates(["of_text"]), "bands")
+    keys = banded.select("fp", "of_text", "n", F.explode("bands").alias("band"))
+    least = keys.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.min("of_text").alias("y"), F.min_by("fp", "of_text").alias("b")).where("low < high")
+    shared = written(keys.join(least.select("band", "y", "b"), "band"), "shared")
+    sets = written(texts.join(shared.select("of_text").distinct(), "of_text", "left_semi").dropDuplicates(["of_text"]).mapInArrow(_sets(shingle), "of_text long, grams array<long>"), "shingles")
+
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) > CLOSE
+    pairs = shared.where(far).select(F.col("fp").alias("a"), "b", F.col("of_text").alias("x"), "y").distinct()
     both = pairs.join(sets.select(F.col("of_text").alias("x"), F.col("grams").alias("x_grams")), "x").join(sets.select(F.col("of_text").alias("y"), F.col("grams").alias("y_grams")), "y")
-    return both.select("a", "b", "x_grams", "y_grams").mapInArrow(_alike(similarity), "a long, b long")
+    links = links.unionByName(both.select("a", "b", "x_grams", "y_grams").mapInArrow(_alike(similarity), "a long, b long"))
+
+    roots = written(components(links), "roots-of-least")
+    own = shared.select("band", "fp", "of_text", "n").join(roots, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("root", "fp")).drop("node", "root")
+    own = written(own, "members")
+    mixed = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("all")).where("low < high")
+    mixed = mixed.select("band", F.when(F.col("all") <= gathered, F.lit(1)).otherwise(F.ceil(F.col("all") / F.lit(gathered // 2))).cast("int").alias("k"))
+    own = own.join(mixed, "band").withColumn("chunk", F.pmod(F.xxhash64("of_text"), F.col("k")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    members = own.join(sets, "of_text").groupBy("band", "i", "j").agg(F.collect_list(F.struct("fp", "component", "chunk", "grams")).alias("members")).select("members")
+    found = members.mapInArrow(_blocks(similarity), "a long, b long")
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+
+
+def _roots(distinct: DataFrame, docs: DataFrame, bucket_limit: int, m: int | None, similarity: float | None, shingle: int) -> DataFrame:
+    """(node, root) of the fingerprints that have links."""
+    links = fingerprint_links(distinct, bucket_limit, m)
+    if similarity is not None:
+        links = similar_links(docs, links, similarity, simhash_shingle=shingle)
+    return written(components(links), "roots")
 
 
 def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, shingle: int = SHINGLE, m: int | None = None, similarity: float | None = LIKE) -> DataFrame:
@@ -229,10 +294,7 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, shingle:
     """
     fps = written(with_fingerprints(docs, shingle), "fingerprints")
     least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
-    links = fingerprint_links(least.select("fp"), bucket_limit, m)
-    if similarity is not None:
-        links = links.unionByName(similar_links(docs, similarity, simhash_shingle=shingle))
-    roots = written(components(links), "roots")
+    roots = _roots(least.select("fp"), docs, bucket_limit, m, similarity, shingle)
     linked = least.join(roots, least.fp == roots.node).select("fp", "root", "low")
     lows = linked.groupBy("root").agg(F.min("low").alias("component"))
     of_fp = least.join(linked.select("fp", "root").join(lows, "root").select("fp", "component"), "fp", "left").select(
@@ -247,12 +309,28 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, shingle:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, similarity: float | None = LIKE) -> DataFrame:
-    """Keep the row with the smallest doc_id of each component, and one of repeated rows.
+def _row_keys() -> dict[str, Column]:
+    """Two digests of (doc_id, text) that tell rows apart; rows equal in both are repeats."""
+    text = F.col("text").cast("string")
+    parts = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.coalesce(text, F.lit("")), text.isNull()]
+    return {f"k{i}": F.xxhash64(F.lit(i), *parts) for i in (1, 2)}
 
-    Rows without a doc_id stay: no decision can be tied to them.
+
+def drop_near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, similarity: float | None = LIKE) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all its columns; every text is judged by itself.
+
+    The row with the smallest doc_id stays; a null id stays only if the
+    component has no other.  Different texts that share an id are separate
+    documents: each stays unless its own component has a smaller id.  If the
+    smallest id has several texts in a component, one of them stays, the same
+    on every run.  Of rows that repeat id and text one stays (which, should
+    their other columns differ, is not defined).  Null and empty texts are alike, so one of
+    them stays.  An empty table gives no rows.
     """
-    verdict = near_duplicates(docs, bucket_limit, similarity=similarity)
-    gone = verdict.where("doc_id <> component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    fps = with_fingerprints(docs, keys=_row_keys())
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2").alias("row")
+    least = written(fps.select("fp", row).groupBy("fp").agg(F.min("row").alias("row")), "least")
+    roots = _roots(least.select("fp"), docs, bucket_limit, None, similarity, SHINGLE)
+    first = least.join(roots, least.fp == roots.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("row").alias("row")).select("row.k1", "row.k2")
+    rows = docs.select(F.struct(*docs.columns).alias("d"), *(c.alias(k) for k, c in _row_keys().items()))
+    return rows.dropDuplicates(["k1", "k2"]).join(first, ["k1", "k2"], "left_semi").select("d.*")

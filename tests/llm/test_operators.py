@@ -113,10 +113,74 @@ def test_components_chain(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
-def test_dedup_keeps_one_and_clean(docs):
-    kept = simhash.drop_near_duplicates(docs).collect()
-    assert Counter(r.doc_id for r in kept)[1] == 1 and not any(r.doc_id == 2 for r in kept)
-    assert sum(r.doc_id is None for r in kept) == 2
+def test_dedup_keeps_one_and_clean(docs, empty):
+    kept = simhash.drop_near_duplicates(docs.withColumn("k1", F.lit("own")).withColumn("d", F.lit("own"))).collect()
+    assert sorted((r.doc_id for r in kept), key=str) == [1, 3, 6, 7, 8, None] and all(r.k1 == r.d == "own" for r in kept)
+    assert simhash.drop_near_duplicates(empty).count() == 0
+
+
+def slow_kept(rows, similarity=0.8):
+    """(doc_id, text) that stay: components by all pairs of rows, the least id of each, one of equal rows."""
+    fps = [slow_simhash(t) for _, t in rows]
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(a):
+                alike = (fps[a] ^ fps[b]).bit_count() <= 4 or grams[a] and grams[b] and len(grams[a] & grams[b]) >= similarity * len(grams[a] | grams[b])
+                if alike and root[a] != root[b]:
+                    root[a] = root[b] = min(root[a], root[b])
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(least.get(r, (True, 0)), (i is None, i or 0))
+    return least, [root[k] for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dedup_loses_no_document(spark, seed):
+    """Repeated and null ids, equal and different texts: each component keeps one row, with its least id."""
+    rng = np.random.default_rng(seed)
+    base = [[f"t{t}w{i}" for i in range(30)] for t in range(5)]
+    rows = []
+    for _ in range(45):
+        w = list(base[rng.integers(5)])
+        for at in rng.choice(30, rng.integers(0, 3), replace=False):
+            w[at] = f"edit{rng.integers(3)}"
+        rows.append((None if rng.random() < 0.2 else int(rng.integers(0, 12)), " ".join(w) if rng.random() < 0.9 else None))
+    rows += rows[:5]
+    least, root = slow_kept(rows)
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    of = {row: r for row, r in zip(rows, root)}
+    assert sorted(of[k] for k in kept) == sorted(least) and all(least[of[k]] == (k[0] is None, k[0] or 0) for k in kept)
+
+
+def test_dedup_keeps_different_texts_of_one_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    kept = simhash.drop_near_duplicates(spark.createDataFrame([(1, a), (7, a), (7, b), (9, b)], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [(1, a), (7, b)]
+
+
+@pytest.mark.parametrize("gathered", [simhash.GATHERED, 300])
+def test_similar_links_do_not_need_all_pairs(spark, gathered):
+    """Groups whose members lie on both sides of 0.8, gathered whole or in blocks, against all pairs."""
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{i * 7919 % 1009}" for i in range(90)], []
+    for i in range(60):
+        w = list(base)
+        for at in rng.choice(90, rng.integers(0, 5), replace=False):
+            w[at] = f"edit{rng.integers(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    distinct = simhash.with_fingerprints(docs).select("fp").distinct()
+    links = simhash.similar_links(docs, simhash.fingerprint_links(distinct), gathered=gathered)
+    roots = {r.node: r.root for r in components.components(links).collect()}
+    signed = [f - (1 << 64) if (f := slow_simhash(t)) >> 63 else f for _, t in rows]
+    _, want = slow_kept(rows)
+    groups, got = {}, {}
+    for f, w in zip(signed, want):
+        groups.setdefault(w, set()).add(f)
+        got.setdefault(roots.get(f, f), set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values())) and 1 < len(groups) < 60
 
 
 @pytest.fixture(scope="module")
