@@ -54,7 +54,7 @@ b AS (SELECT *, 0 AS k FROM a UNION ALL SELECT *, 1 FROM ({_located('access', 'A
 cand AS (SELECT r, e - length({_VALUE}) AS s, e, {_VALUE} AS v FROM a UNION SELECT r, s, e, v FROM b WHERE k > 0 UNION SELECT r, s, e, v FROM ({_located('run', '[A-Za-z0-9+/_=-]{20,}')})),
 good AS (SELECT * FROM cand WHERE length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
   AND NOT regexp_matches(v, '(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|00000000|12345678') AND len(list_distinct(string_split(v, ''))) >= 8),
-owned AS (SELECT v FROM good JOIN d USING (r) GROUP BY v HAVING count(DISTINCT owner) <= 3),
+owned AS (SELECT v FROM good JOIN d USING (r) GROUP BY v HAVING count(DISTINCT owner) <= 3 AND count(DISTINCT coalesce(doc_id::VARCHAR, '')) <= 10 * count(DISTINCT owner)),
 spans AS (SELECT r, s, k, kind, e FROM b UNION ALL SELECT r, s, 3, 'live', e FROM good SEMI JOIN owned USING (v)),
 o AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM spans GROUP BY r)

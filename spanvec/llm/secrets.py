@@ -32,6 +32,26 @@ MOST_REPOSITORIES = 10
 MASK = "[SECRET]"
 
 _NONE = "cast(array() as array<struct<s:int,e:int,v:string>>)"
+#: Characters that candidates consist of.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+#: Steps of a scan over an array; 2 to their power is above any array's size.
+SCAN_STEPS = 31
+#: Characters of a block of text that is cut by position.
+BLOCK = 64
+
+
+def running(values: Column, join) -> Column:
+    """Inclusive scan of an array: element i joins the first i.
+
+    In step k each element joins the one 2^k before it, so n elements take
+    n log n operations; an array that grows by one in each step takes n squared.
+    """
+
+    def step(acc, by):
+        shifted = F.concat(F.slice(acc, 1, by), F.zip_with(F.slice(acc, by + 1, F.size(acc)), F.slice(acc, 1, F.size(acc) - by), join))
+        return F.when(F.size(acc) > by, shifted).otherwise(acc)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(SCAN_STEPS))), values, step)
 
 
 def located(text: Column, pattern: str, possible: Column) -> Column:
@@ -42,22 +62,24 @@ def located(text: Column, pattern: str, possible: Column) -> Column:
     """
 
     def place(found):
-        pairs = F.arrays_zip(F.split(text, pattern, -1).alias("g"), found.alias("v"))
-        start = lambda acc, x: acc["at"] + F.char_length(x["g"])
-        step = lambda acc, x: F.struct(
-            (start(acc, x) + F.coalesce(F.char_length(x["v"]), F.lit(0))).alias("at"),
-            F.when(x["v"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("s"), (start(acc, x) + F.char_length(x["v"])).alias("e"), x["v"].alias("v"))))).alias("out"),
-        )
-        return F.when(F.size(found) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out")), step, lambda acc: acc["out"])).otherwise(F.expr(_NONE))
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda g, v: F.char_length(g) + F.char_length(v))
+        ends = F.arrays_zip(running(lengths, lambda a, b: a + b).alias("e"), found.alias("v"))
+        spans = F.transform(ends, lambda x: F.struct((x["e"] - F.char_length(x["v"])).alias("s"), x["e"].alias("e"), x["v"].alias("v")))
+        return F.when(F.size(found) > 0, spans).otherwise(F.expr(_NONE))
 
     return F.when(possible, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)).otherwise(F.expr(_NONE))
 
 
+def once(spans: Column) -> Column:
+    """The spans in order, repeated ones once."""
+    return let(F.sort_array(spans), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
+
+
 def looks_live(value: Column) -> Column:
     """Long, of letters and digits, of many different characters, and no placeholder."""
     return (
         (F.char_length(value) >= LEAST_LIVE) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
-        & (F.size(F.array_distinct(F.split(value, ""))) > LEAST_DISTINCT)
+        & (F.size(F.filter(F.array(*map(F.lit, ALPHABET)), lambda c: F.contains(value, c))) >= LEAST_DISTINCT)
     )
 
 
@@ -75,7 +97,7 @@ def _scan(docs: DataFrame, owner: str, repository: str) -> DataFrame:
         located(t, LONG_RUN, F.lit(True)).alias("run"),
     )
     rows = rows.withColumn("value", F.transform("assign", lambda x: let(value(x), lambda v: F.struct((x["e"] - F.char_length(v)).alias("s"), x["e"].alias("e"), v.alias("v")))))
-    found = F.filter(F.array_distinct(F.concat("value", "access", "hex", "run")), lambda x: looks_live(x["v"]))
+    found = F.filter(once(F.concat("value", "access", "hex", "run")), lambda x: looks_live(x["v"]))
     spans = lambda k: F.transform(KINDS[k], lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
     return rows.select(
         "doc_id", "owner", "repository", "of_text", F.sort_array(F.concat(*map(spans, range(3)))).alias("base"), *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
@@ -109,21 +131,38 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mos
     return all_.select("r.doc_id", "r.of_text", "n_assign", "n_access", "n_hex", "base", spans.alias("all_spans"))
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """The text with MASK for every span; spans that overlap share one. Spans are (s, k, e) in order, at least one.
+
+    The text is cut into blocks of characters, so that a piece is found by its position without a walk from the start.
+    """
+
+    def cut(blocks):
+        def piece(a, b):
+            i = F.floor(a / BLOCK).cast("int")
+            j = F.floor((b - 1) / BLOCK).cast("int")
+            return F.when(b > a, F.substring(F.array_join(F.slice(blocks, i + 1, j - i + 1), ""), a - i * BLOCK + 1, b - a)).otherwise(F.lit(""))
+
+        def joined(ends):
+            before = F.transform(spans, lambda x, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)).alias("at"), x["s"].alias("s"), (i == 0).alias("first")))
+            parts = F.transform(F.filter(before, lambda x: x["first"] | (x["s"] >= x["at"])), lambda x: F.concat(piece(x["at"], x["s"]), F.lit(MASK)))
+            return F.concat(F.array_join(parts, ""), piece(F.element_at(ends, -1), F.char_length(text)))
+
+        return let(running(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b)), joined)
+
+    return let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0)), cut)
+
+
 def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Rows of docs with every span masked, n_chars set anew; texts without spans are left alone. Null ids and texts pass."""
+    """Rows of docs with every span masked, n_chars set anew; texts without spans are left alone.
+
+    Null ids and texts pass, repeated rows are masked alike, other columns pass
+    as they are.  An empty table gives no rows.
+    """
     spans = scan(docs, owner, repository).where(F.size("all_spans") > 0).select("doc_id", "of_text", "all_spans").dropDuplicates(["doc_id", "of_text"])
-    text = F.col("text")
-
-    def step(acc, x):
-        at, gap = acc["at"], F.greatest(F.lit(0), x["s"] - acc["at"])
-        piece = F.concat(F.substring(text, at + 1, gap), F.when((x["s"] >= at) | (at == 0), F.lit(MASK)).otherwise(F.lit("")))
-        return F.struct(F.greatest(at, x["e"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    masked = F.aggregate("all_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    of_text = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(text, F.lit("")))
-    d, s = docs.withColumn("_of", of_text).alias("d"), spans.alias("s")
-    rows = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._of") == F.col("s.of_text")), "left")
-    changed = F.when(F.col("all_spans").isNotNull(), masked).otherwise(text)
-    out = rows.select(*(F.col(f"d.{c}") if c != "text" else changed.alias("text") for c in docs.columns))
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("d"), doc_id.alias("doc_id"), F.xxhash64(doc_id, F.coalesce(text, F.lit(""))).alias("of_text")).alias("r")
+    rows = rows.join(spans.alias("s"), F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.of_text") == F.col("s.of_text")), "left")
+    rows = rows.select("d", F.when(F.col("all_spans").isNotNull(), masked(F.col("d.text").cast("string"), F.col("all_spans"))).otherwise(F.col("d.text")).alias("new"))
+    own = {"text": F.col("new"), "n_chars": F.char_length("new").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*((own[c] if c in own else F.col("d")[c]).alias(c) for c in docs.columns))

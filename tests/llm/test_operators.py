@@ -429,6 +429,66 @@ def test_secret_ownership(spark, docs, empty):
     assert red[6] == "one two" and KEY not in red[7] and "AKIA" not in red[7] and red[7].endswith("\U0001f642  x")
 
 
+def slow_masked(text, spans):
+    """Character by character: a mask where a run of overlapping spans begins."""
+    out, end = "", 0
+    for i, c in enumerate([*text, ""]):
+        if any(s == i for s, _ in spans) and i >= end:
+            out += secrets.MASK
+        end = max([end, *(e for s, e in spans if s == i)])
+        out += c if i >= end else ""
+    return out
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.text(st.sampled_from(list("ab\n🙂é")), min_size=1, max_size=200), st.lists(st.tuples(st.integers(0, 199), st.integers(1, 90)), min_size=1, max_size=6)), min_size=1, max_size=6))
+def test_masks(spark, cases):
+    """Spans that overlap, touch, begin or end the text, over several blocks and in astral characters."""
+    rows = []
+    for text, spans in cases:
+        found = sorted({(a % len(text), min(len(text), a % len(text) + n)) for a, n in spans})
+        rows.append((text, [(s, 0, e) for s, e in found], slow_masked(text, found)))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<s:int,k:int,e:int>>, want string")
+    assert all(r.got == r.want for r in df.select("want", secrets.masked(F.col("text"), F.col("spans")).alias("got")).collect())
+
+
+def test_secrets_in_long_texts(spark):
+    """A hundred thousand matches in a text, and one run of millions of characters, take seconds."""
+    n = 100_000
+    text = " ".join(f"{i:024x}" for i in range(n))
+    df = spark.createDataFrame([(1, text, "s"), (2, "token=" + "0a1b2c3d" * 400_000, "s")], "doc_id long, text string, source string")
+    (one, two) = sorted(secrets.scan(df).select("doc_id", "n_hex", "n_assign", F.slice("base", -1, 1).alias("last")).collect())
+    assert (one.n_hex, one.last[0].s, one.last[0].e) == (n, len(text) - 24, len(text)) and (two.n_hex, two.n_assign) == (1, 1)
+    red = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert red == {1: " ".join([secrets.MASK] * n), 2: secrets.MASK}
+
+
+def test_redact_odd_rows(spark, docs, empty):
+    odd = docs.withColumns({c: F.lit("own") for c in ("all_spans", "_of", "d", "new", "of_text", "owner", "base")}).withColumn("n_chars", F.lit(-1))
+    got = secrets.redact(odd)
+    rows = got.collect()
+    assert got.columns == odd.columns and len(rows) == len(ROWS) and secrets.redact(empty).count() == 0
+    assert all(r.all_spans == r._of == r.d == r.new == r.of_text == "own" and r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+    untouched = Counter((i, t) for i, t, *_ in ROWS if "token" not in (t or "") and "password" not in (t or ""))
+    assert untouched <= Counter((r.doc_id, r.text) for r in rows)
+    assert any(r.doc_id is None and (r.text or "").endswith(secrets.MASK) for r in rows)
+
+
+def test_secret_query_equals_sql(spark):
+    """The SQL counts repositories and owners too: copies within one owner, and over owners."""
+    import duckdb
+    from spanvec.llm.oracles import ORACLES
+
+    other, third = KEY[::-1], KEY.upper().replace("0", "x")
+    rows = [(i, f"x {KEY} y", "hot") for i in range(40)] + [(100 + i, f"x {other} y token={third}", "hot") for i in range(10)] + [(None, f"{third}", None)] * 2 + [(300 + i, f"a{KEY[1:]}", f"o{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents = df.toPandas().astype({"doc_id": "Int64"})  # noqa: F841  read by name
+    want = duckdb.sql(ORACLES["op8_secret_scan"]).fetchall()
+    base = F.sha2(secrets.spelled(F.col("base")).cast("binary"), 256)
+    got = secrets.scan(df).select("doc_id", "n_assign", "n_access", "n_hex", base, secrets.spelled(F.col("all_spans"))).collect()
+    assert Counter(map(tuple, got)) == Counter(want) and any("live" in r[-1] for r in want)
+
+
 def test_lm_scores(docs, empty):
     path, held = tokenizer("piece_bpe_32k.model"), id_remainder(10) == 0
     crc = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
