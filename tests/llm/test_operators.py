@@ -489,54 +489,94 @@ def test_secret_query_equals_sql(spark):
     assert Counter(map(tuple, got)) == Counter(want) and any("live" in r[-1] for r in want)
 
 
+def slow_arcs(word):
+    """(from, to, piece ids) of a word, one by one."""
+    sp = lm_score.processor(tokenizer("piece_bpe_32k.model"))
+    s = "▁" + word
+    for i in range(len(s)):
+        for j in range(i + 1, len(s) + 1):
+            k = sp.piece_to_id(s[i:j])
+            if k != sp.unk_id() and sp.id_to_piece(k) == s[i:j] and not sp.is_control(k) and not sp.is_byte(k):
+                yield i, j, [k]
+            elif j == i + 1:
+                yield i, j, [sp.piece_to_id(f"<0x{b:02X}>") for b in s[i].encode()]
+
+
+def slow_lattice(word, p):
+    """Probability of a word, and expected uses of each piece, by the probabilities p."""
+    arcs, n = list(slow_arcs(word)), len(word) + 1
+    ways = lambda ids: math.prod(p[k] for k in ids)
+    f, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    for i, j, ids in sorted(arcs, key=lambda x: x[1]):
+        f[j] += f[i] * ways(ids)
+    for i, j, ids in sorted(arcs, key=lambda x: -x[0]):
+        b[i] += ways(ids) * b[j]
+    uses = Counter()
+    for i, j, ids in arcs:
+        for k in ids:
+            uses[k] += f[i] * ways(ids) * b[j] / f[n]
+    return f[n], uses
+
+
 def test_lm_scores(docs, empty):
+    """Every column of every text against plain counts, expected uses and lattices."""
     path, held = tokenizer("piece_bpe_32k.model"), id_remainder(10) == 0
     crc = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
     train = Counter(w for i, t, *_ in ROWS if not crc(i) for w in words(t))
     ends = sum(not crc(r[0]) for r in ROWS)
     n, v = sum(train.values()) + ends, len(train) + 1
-    p = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    want = sorted(((i, crc(i), len(words(t)) + 1, 1 + sum(train[w] > 0 for w in words(t)), n, round(p(ends) + sum(p(train[w]) for w in words(t)), 4)) for i, t, *_ in ROWS), key=str)
+    base = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    sp = lm_score.processor(path)
+    size, uses = sp.get_piece_size(), Counter()
+    for w, c in train.items():
+        for k in sp.encode(w.decode()):
+            uses[k] += c
+    for step in range(lm_score.PASSES + 1):
+        total = sum(uses.values()) + ends + 0.1 * (size + 1)
+        p, end = [(uses[k] + 0.1) / total for k in range(size)], math.log10((ends + 0.1) / total)
+        if step < lm_score.PASSES:
+            uses = Counter()
+            for w, c in train.items():
+                for k, x in slow_lattice(w.decode(), p)[1].items():
+                    uses[k] += c * x
+    prob = {w: slow_lattice(w.decode(), p)[0] for _, t, *_ in ROWS for w in set(words(t))}
+    off = lm_score.discount(sum(c == 1 for c in train.values()), sum(c == 2 for c in train.values()))
+    mixed = lambda w: math.log10(max(0, train[w] - off) / (n - ends) + off * len(train) / (n - ends) * prob[w])
+    want = sorted(((i, crc(i), len(words(t)) + 1, 1 + sum(train[w] > 0 for w in words(t)), n, base(ends) + sum(base(train[w]) for w in words(t)), end + sum(math.log10(prob[w]) for w in words(t)), end + sum(map(mixed, words(t)))) for i, t, *_ in ROWS), key=lambda r: str(r[:5]) + f"{r[5]:.3f}")
     for frequent in (1, 10_000):
-        rows = lm_score.lm_scores(docs, path, held, frequent).collect()
-        assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows), key=str) == want
-        assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
+        rows = sorted(map(tuple, lm_score.lm_scores(docs, path, held, frequent).collect()), key=lambda r: str(r[:5]) + f"{r[5]:.3f}")
+        assert [r[:5] for r in rows] == [r[:5] for r in want]
+        for a, b in zip(rows, want):
+            assert a[5:] == pytest.approx(b[5:], rel=1e-6)
     assert lm_score.lm_scores(empty, path, held).count() == 0
-    assert all(math.isfinite(r.score) for r in lm_score.lm_scores(docs, path, F.lit(True)).collect())
+    assert all(math.isfinite(r.score) and math.isfinite(r.word_score) for r in lm_score.lm_scores(docs, path, F.lit(True)).collect())
 
 
-def test_lattice_holds_training_words(spark):
-    """Piece, word and end probabilities add up to one; words that training did not see have none of their own."""
-    path = tokenizer("piece_bpe_32k.model")
-    c = {"river": 40, "bank": 20, "fox": 1, "jumps": 1, "dog": 2}
-    off = lm_score.discount(2, 1)
-    df = spark.createDataFrame([(w.encode(), n) for w, n in c.items()] + [(b"unseen", 0)], "word binary, c long")
-    log_p, log_end, log_all = lm_score.piece_log_probabilities(df, sum(c.values()), len(c), 10, off, path)
-    assert sum(map(math.exp, log_p)) + math.exp(log_end) + sum((n - off) / math.exp(log_all) for n in c.values()) == pytest.approx(1)
-    assert off == 0.5 and lm_score.discount(0, 3) == 0.5 and lm_score.discount(9, 0) == 0.9 and lm_score.discount(1, 100) == 0.1
+def test_piece_probabilities_add_up(spark):
+    df = spark.createDataFrame([(w.encode(), n) for w, n in {"river": 40, "bank": 20, "fox": 1, "naïve🙂": 2}.items()] + [(b"unseen", 0)], "word binary, c long")
+    log_p, log_end = lm_score.piece_log_probabilities(df, 10, tokenizer("piece_bpe_32k.model"))
+    assert sum(map(math.exp, log_p)) + math.exp(log_end) == pytest.approx(1)
+    assert lm_score.discount(2, 1) == 0.5 and lm_score.discount(0, 3) == 0.5 and lm_score.discount(9, 0) == 0.9 and lm_score.discount(1, 100) == 0.1
 
 
 def test_lattice_sums_all_segmentations():
-    sp = lm_score.processor(tokenizer("piece_bpe_32k.model"))
-    size = sp.get_piece_size()
-    lattice = lm_score.Lattice(tokenizer("piece_bpe_32k.model"), [-math.log(size)] * size)
-
-    def ways(s):
-        if not s:
-            return 1.0
-        total = 0.0
-        for k in range(1, len(s) + 1):
-            i = sp.piece_to_id(s[:k])
-            if i != sp.unk_id() and sp.id_to_piece(i) == s[:k] and not sp.is_control(i) and not sp.is_byte(i):
-                total += ways(s[k:]) / size
-            elif k == 1:
-                total += ways(s[1:]) / size ** len(s[0].encode())
-        return total
-
-    for w in ("the", "thereon", "naïve", "\U0001f642x"):
-        assert lattice.log10(w) == pytest.approx(math.log10(ways("▁" + w)))
-        assert lattice.log10(w, -3.0) == pytest.approx(math.log10(ways("▁" + w) + math.exp(-3.0)))
-    assert math.isfinite(lattice.log10("ab" * 20_000))
+    path = tokenizer("piece_bpe_32k.model")
+    rng = np.random.default_rng(1)
+    lattice = lm_score.lattice(path)
+    p = rng.dirichlet([0.05] * lattice.size) + 1e-9
+    some = ["the", "thereon", "naïve", "🙂x", "a", "", "中中", "internationalisation", "the"] + ["".join(rng.choice(list("abtheionsr"), rng.integers(1, 14))) for _ in range(200)]
+    got = lattice.log10(some, np.log(p))
+    assert got == pytest.approx([math.log10(slow_lattice(w, p)[0]) for w in some])
+    uses = Counter()
+    for i, w in enumerate(some):
+        for k, x in slow_lattice(w, p)[1].items():
+            uses[k] += (i + 1) * x
+    assert lattice.expected(some, np.arange(1.0, len(some) + 1), np.log(p)) == pytest.approx([uses[k] for k in range(lattice.size)])
+    long = "ab" * 50_000
+    cut = [long[: lm_score.LONGEST - 1], long[lm_score.LONGEST - 1 :]]
+    whole, _, first = lattice.log10([long, "x", cut[0]], np.log(p))
+    last = lattice.forward(lattice.arcs(lattice.codes([cut[1]]), np.log(p))[1])[0, -1] / math.log(10)
+    assert whole == pytest.approx(first + last)
 
 
 def test_classifier(spark, docs, empty):
