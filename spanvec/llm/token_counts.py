@@ -1,13 +1,14 @@
 """Token counts by a digest cache.
 
-The cache is a Parquet table (content_digest, tokenizer_digest, n_tokens).
+The cache is a Parquet table (content_digest, n_tokens), partitioned by tokenizer_digest.
 Texts are normalised (runs of white space become one space, none at the ends;
 the tokenizer does so too, so the count stays), digested, and looked up.  Each
 digest that is missing is encoded once, wherever its copies are, and appended.
 
 Digests of copies are pre-aggregated before any shuffle, and only one text of
-each missing digest reaches the encoder.  Digests that hold more than one row in
-HOT_SHARE, of which there are fewer than that, get their counts by a broadcast.
+each missing digest reaches the encoder.  While few digests are missing, only
+their texts move.  Digests that hold more than one row in HOT_SHARE, of which
+there are fewer than that, get their counts by a broadcast.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .bpe import SETTLED, SPACES, Seen, byte_chars
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
 
+#: Missing digests that are sent to every task (32 bytes each).
+FEW = 100_000
 #: The pattern of what the pre-tokenizer keeps.
 KEPT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
@@ -73,7 +76,8 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048) -> D
     path: a tokenizers file that drops white space.  cache: folder of the
     cache table, made if it is missing; entries of other tokenizers in it are
     left alone.  Null and empty texts have no bytes and no tokens.  A null
-    doc_id, repeated ids and repeated rows keep their rows.
+    doc_id, repeated ids and repeated rows keep their rows, and an empty table
+    gives none.  Other columns are not read.
     """
     spark = session_ready(docs.sparkSession)
     version = hashlib.sha256(open(path, "rb").read()).hexdigest()
@@ -96,9 +100,14 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048) -> D
         n = [of.count(t or "") for t in b.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([b.column("content_digest"), pa.array(n, pa.int64())], ["content_digest", "n_tokens"])
 
-    fresh = rows.select("text", "content_digest", row_key).join(misses.hint("merge"), ["row_key", "content_digest"], "left_semi")
+    texts = rows.select("text", "content_digest", row_key)
+    if misses.count() <= FEW:
+        texts = texts.join(F.broadcast(misses.select("content_digest")), "content_digest", "left_semi")
+    # equal rows, and rows without an id that share a text, are one row for each task before they are dealt out
+    texts = texts.groupBy("row_key", "content_digest").agg(F.first("text").alias("text"))
+    fresh = texts.join(misses.hint("merge"), ["row_key", "content_digest"], "left_semi")
     fresh = fresh.select("text", "content_digest").mapInArrow(per_batch(work), "content_digest binary, n_tokens long")
-    fresh.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")).select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
+    fresh.withColumn("tokenizer_digest", F.lit(version)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
     counts = known().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     n_rows = distinct.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(counts.join(F.broadcast(distinct.where(F.col("n") * HOT_SHARE > n_rows).select("content_digest")), "content_digest"))
