@@ -17,10 +17,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_words, session_ready
+from ._common import byte_words, session_ready, written
 
 SHINGLE = 5
 BINS = 512
@@ -125,13 +125,19 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _cuts(ids: DataFrame, parts: int) -> list[int]:
-    """At most parts - 1 ids that cut the ids into about equal ranges."""
-    found = ids.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    return sorted({int(x) for x in found})
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Copies of a row that one task puts out.
+COPIES = 10_000
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _compared(doc_id, text: str, values, following: str, of_following) -> tuple:
+    changed = edited(text, following).encode()
+    of_changed = minhash(changed)
+    return doc_id, len(text), hashlib.sha256(changed).hexdigest(), packed(values), packed(of_changed), likeness(values, of_changed), likeness(values, of_following)
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, _TYPES)], _NAMES)
 
 
 def _compare(batches):
@@ -144,18 +150,44 @@ def _compare(batches):
                 continue
             values = minhash(text.encode())
             if held is not None:
-                before_id, before, of_before = held
-                changed = edited(before, text).encode()
-                of_changed = minhash(changed)
-                out.append((before_id, len(before), hashlib.sha256(changed).hexdigest(), packed(of_before), packed(of_changed), likeness(of_before, of_changed), likeness(of_before, values)))
+                out.append(_compared(*held, text, values))
             held = None if ghost else (doc_id, text, values)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, _TYPES)], _NAMES)
+        yield _batch(out)
+
+
+def _with_itself(batches):
+    """Rows that are followed by copies of themselves."""
+    for b in batches:
+        rows = [(i, t, minhash(t.encode())) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())]
+        yield _batch([_compared(i, t, v, t, v) for i, t, v in rows]).append_column("n", b.column("n"))
 
 
 _NAMES = [x.split()[0] for x in OUT.split(", ")]
 _TYPES = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[x.split()[1]] for x in OUT.split(", ")]
 
 
+def _place(doc_id: Column, h: Column) -> Column:
+    """Rises with the order of rows: doc_id from high to low, null last, then the hash of the text."""
+    return F.struct(doc_id.isNull().alias("no_id"), F.bitwise_not(F.coalesce(doc_id, F.lit(0))).alias("down"), h.alias("h"))
+
+
+def _starts(ids: DataFrame, parts: int) -> list[tuple[int | None, int]]:
+    """(doc_id, h) at which ranges begin, so that none but of equal rows has many more than its share; a few for each part.
+
+    Ids are cut into about equal ranges.  An id of more rows than a range's share (null among them), of which
+    there are fewer than ``parts``, is a range of its own, or several by the hash of the text.
+    """
+    n = ids.count()
+    cuts = ids.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    low, found = -(2**63), {(int(x), -(2**63)) for x in cuts}
+    for r in ids.groupBy("doc_id").count().where(F.col("count") * parts > n).collect():
+        slices = -(-r["count"] * parts // max(1, n))
+        found |= {(r["doc_id"], low + (i << 64) // slices) for i in range(slices)}
+        if r["doc_id"] is not None and r["doc_id"] > low:
+            found.add((r["doc_id"] - 1, low))
+    return sorted(found, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+
+
 def with_edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """docs(doc_id, text, ...) to (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
@@ -163,28 +195,46 @@ def with_edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
     document in descending doc_id (after the last, the first).  Texts move
     once, into ranges of doc_id; the document that begins a range is also
     sent to the end of the range before it, so that every task finds its
-    neighbours in order as it streams, with two texts in memory.  The driver
-    gets one id for each range.
+    neighbours in order as it streams, with two texts in memory.  Ids of many
+    rows are cut by a hash of the text; of many equal rows one is sent, the
+    others follow each other.  The driver gets a few ids for each range.
 
     Null texts count as empty.  Rows with a null doc_id come after all
-    others; rows of one doc_id are ordered by their text.  A single row is its
-    own next document.  An empty table gives no rows.  Other columns are not read.
+    others; rows of one doc_id are ordered by a hash of their text, then the
+    text.  A single row is its own next document.  An empty table gives no
+    rows.  Other columns are not read.
     """
     spark = session_ready(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ids = written(rows.select("doc_id", "h"), "ids")
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = _cuts(rows, parts)
-    above = F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(above))
-    heads = {r["part"]: r["head"] for r in rows.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
+    starts = _starts(ids, parts)
+    at = _place(F.col("doc_id"), F.col("h"))
+    bounds = [_place(F.lit(i).cast("long"), F.lit(h).cast("long")) for i, h in starts]
+    part = F.size(F.filter(F.array(*bounds), lambda b: b <= at)) if bounds else F.lit(0)
+    heads = {r["part"]: r["head"] for r in ids.groupBy(part.alias("part")).agg(F.min(at).alias("head")).collect()}
     if not heads:
         return spark.createDataFrame([], OUT)
+    n = ids.count()
+    many = [(r["doc_id"], r["h"]) for r in ids.groupBy("doc_id", "h").count().where((F.col("count") > COPIES) & (F.col("count") * parts > n)).select("doc_id", "h").collect()]
+    copies = None
+    if many:
+        hot = F.exists(F.array(*(_place(F.lit(i).cast("long"), F.lit(h).cast("long")) for i, h in many)), lambda b: b == at)
+        one = written(rows.where(hot).groupBy("doc_id", "h", "text").agg(F.count("*").alias("n")), "copies")
+        rows = rows.where(~hot).unionByName(one.drop("n"))
+        copies = one.where("n > 1").select("doc_id", "text", (F.col("n") - 1).alias("n")).mapInArrow(_with_itself, OUT + ", n long")
+        chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))
+        copies = copies.withColumn("chunk", chunk).repartition(parts)
+        copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("n") - COPIES * F.col("chunk"))))).select(_NAMES)
     order = sorted(heads)
-    before = {p: order[i - 1] for i, p in enumerate(order)}
-    every = range(len(cuts) + 1)
-    head = F.array(*(F.lit(heads.get(p)).cast("long") for p in every))[F.col("part")]
-    back = F.array(*(F.lit(before.get(p, 0)) for p in every))[F.col("part")]
-    here, there = F.struct(F.col("part").alias("to"), F.lit(False).alias("ghost")), F.struct(back.alias("to"), F.lit(True).alias("ghost"))
-    sent = rows.select("doc_id", "text", F.explode(F.when(head.eqNullSafe(F.col("doc_id")), F.array(here, there)).otherwise(F.array(here))).alias("x"))
-    ranges = sent.select("doc_id", "text", "x.to", "x.ghost").repartitionById(len(cuts) + 1, F.col("to")).sortWithinPartitions("ghost", F.col("doc_id").desc_nulls_last(), "text")
-    return ranges.select("doc_id", "text", "ghost").mapInArrow(_compare, OUT)
+    ghosts = [F.struct(_literal(heads[p]).alias("head"), F.lit(order[i - 1]).alias("to")) for i, p in enumerate(order)]
+    here = F.array(F.struct(F.lit(0).alias("head"), part.alias("to"), F.lit(False).alias("ghost")))
+    there = F.transform(F.filter(F.array(*ghosts), lambda g: g["head"] == at), lambda g: F.struct(F.lit(0).alias("head"), g["to"].alias("to"), F.lit(True).alias("ghost")))
+    sent = rows.select("doc_id", "text", "h", F.explode(F.concat(here, there)).alias("x")).select("doc_id", "text", "h", "x.to", "x.ghost")
+    ranges = sent.repartitionById(len(starts) + 1, F.col("to")).sortWithinPartitions("ghost", at, "text")
+    found = ranges.select("doc_id", "text", "ghost").mapInArrow(_compare, OUT)
+    return found.unionByName(copies) if copies is not None else found
+
+
+def _literal(place) -> Column:
+    return F.struct(F.lit(place["no_id"]).alias("no_id"), F.lit(place["down"]).cast("long").alias("down"), F.lit(place["h"]).cast("long").alias("h"))

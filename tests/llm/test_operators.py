@@ -232,16 +232,73 @@ def test_token_counts_and_cache(spark, docs, empty, tmp_path):
     assert token_counts.token_counts(empty, path, cache).count() == 0
 
 
-def test_minhash(docs, empty, table):
-    got = minhash.with_edited(docs, 3).collect()
-    assert len(got) == len(ROWS)
-    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_each_digest_is_encoded_once(spark, tmp_path, monkeypatch, few):
+    """Equal rows, rows without an id and copies under other ids: one text of a digest reaches the encoder, hits none."""
+    monkeypatch.setattr(token_counts, "FEW", few)
+    path, cache = tokenizer("word_bpe_49k.json"), f"{tmp_path}/cache"
+    rows = [(None, "a text of no one")] * 40 + [(5, "five five five")] * 30 + [(i, "a copy") for i in range(20)] + [(i, f"own {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert token_counts.token_counts(df, path, cache).count() == len(rows)
+    assert spark.read.parquet(cache).count() == 23
+    more = df.unionByName(spark.createDataFrame([(1, "new here")], "doc_id long, text string"))
+    assert token_counts.token_counts(more, path, cache).count() == len(rows) + 1 and spark.read.parquet(cache).count() == 24
+
+
+def text_hashes(df):
+    text = F.coalesce("text", F.lit(""))
+    return {r.t: r.h for r in df.select(text.alias("t"), F.xxhash64(text).alias("h")).collect()}
+
+
+def slow_edited(rows, hashed):
+    """Rows (doc_id, text) by id from high to low, null last, then by hash of the text; each with the next one's start in its last half."""
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
     want = Counter()
-    for (i, t, *_), nxt in zip(order, [*order[1:], order[0]]):
-        t, n = t or "", nxt[1] or ""
+    for (i, t), (_, n) in zip(order, [*order[1:], order[0]]):
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         want[(i, len(t), hashlib.sha256(e.encode()).hexdigest())] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    return want
+
+
+def test_edited_hot_ids(spark, monkeypatch):
+    """Many rows without an id, of one id, and of equal rows, are split; every neighbour is found."""
+    monkeypatch.setattr(minhash, "COPIES", 20)
+    rng = np.random.default_rng(4)
+    rows = [(None, f"text {i} of no one in particular") for i in range(150)] + [(7, f"text {i} of seven and more") for i in range(150)]
+    rows += [(None, "the same again and again")] * 130 + [(9, None)] * 90 + [(int(rng.integers(0, 60)), " ".join(rng.choice(list("abcdef"), 9))) for _ in range(150)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string")
+    hashed = text_hashes(df)
+    got = minhash.with_edited(df, 12).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == slow_edited(rows, hashed)
+    starts = minhash._starts(df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), 12)
+    assert sum(i is None for i, _ in starts) >= 3 and sum(i == 7 for i, _ in starts) >= 3
+
+
+def test_densification(table):
+    """Each empty bin copies the first filled one of its own fixed order, bin by bin."""
+    rank = minhash._probe_order()
+    for text in [*list(table.values())[:20], "one two three", "a b c d e f g h"]:
+        h = minhash.shingle_hashes(text.encode())
+        least = {}
+        for x in h.tolist():
+            k = x >> (64 - 9)
+            least[k] = min(least.get(k, x), x)
+        want = []
+        for i in range(minhash.BINS):
+            if i in least:
+                want.append(least[i] & 15)
+            else:
+                j = min(least, key=lambda j: rank[i, j])
+                mixed = (least[j] + i * 0x9E3779B97F4A7C15) % 2**64
+                want.append(int(minhash._mix(np.array([mixed], np.uint64))[0]) & 15)
+        assert minhash.minhash(text.encode()).tolist() == want
+
+
+def test_minhash(docs, empty, table):
+    got = minhash.with_edited(docs, 3).collect()
+    assert len(got) == len(ROWS)
+    hashed = text_hashes(docs)
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == slow_edited([r[:2] for r in ROWS], hashed)
     assert minhash.with_edited(empty).count() == 0
     texts, off = list(table.values()), []
     for a, b in zip(texts, texts[1:]):
