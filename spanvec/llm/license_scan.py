@@ -107,9 +107,14 @@ class Index:
         A passage is first and last word of the text, first and last word of the
         template, and number of matched words.  Its words are masked, and what
         is left of the hits is aligned again, so repeated notices are all found.
+        Hits with most others in their band come first, so that chance hits take
+        no words of a passage next to them.
         """
         out, taken = [], set()
-        for i, j, n in hits:
+        diagonal = np.array([i - j for i, j, _ in hits])
+        line = np.sort(diagonal)
+        others = np.searchsorted(line, diagonal + BAND, "right") - np.searchsorted(line, diagonal - BAND)
+        for i, j, n in (hits[k] for k in np.argsort(-others, kind="stable").tolist()):
             while taken.isdisjoint(range(i, i + n)):
                 s = self.align(w, t, i - j, taken)
                 out.append(s)
