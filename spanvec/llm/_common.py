@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -33,21 +34,33 @@ def session_ready(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own only if none is named."""
+    """The shared folder named in spark.checkpoint.dir; one of our own only if none is named and all runs on this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     found = sc.getCheckpointDir()
     if found is None:
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints/spanvec")
         found = sc.getCheckpointDir()
     return found
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is put there goes when the session's JVM ends."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)  # only what exists can be marked
+    fs.deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = work_path(spark, name)
+    df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

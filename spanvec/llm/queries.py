@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, license_scan, lm_score, minhash, mixing, quality_classifier, quality_rules, secrets, simhash, token_counts
-from ._common import documents, work_dir
+from ._common import documents, work_path
 from .oracles import ORACLES
 
 TOKENIZERS = "/opt/tokenizers"
@@ -41,7 +40,7 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that every distinct text is encoded."""
     docs = documents(spark, sf_dir)
-    return token_counts.token_counts(docs, tokenizer("word_bpe_49k.json"), f"{work_dir(spark)}/token-counts-{uuid.uuid4().hex}")
+    return token_counts.token_counts(docs, tokenizer("word_bpe_49k.json"), work_path(spark, "token-counts"))
 
 
 def op4_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

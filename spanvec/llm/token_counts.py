@@ -89,7 +89,7 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048) -> D
         try:
             found = spark.read.schema(CACHE_SCHEMA).parquet(cache)
         except AnalysisException:
-            found = spark.createDataFrame([], CACHE_SCHEMA)
+            found = spark.range(0).select(F.lit(b"").alias("content_digest"), F.lit("").alias("tokenizer_digest"), F.lit(0).cast("long").alias("n_tokens"))
         return found.where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
 
     distinct = written(keys.groupBy("content_digest").agg(F.min(row_key).alias("row_key"), F.count("*").alias("n")), "distinct")

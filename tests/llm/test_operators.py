@@ -654,6 +654,58 @@ def test_classifier(spark, docs, empty):
     assert levels.tolist() == [0, 0.5, 0.5, 1] and knots.tolist() == [1, 2, 3, 4]
 
 
+def slow_isotonic(score, label):
+    """Least squares among rising steps: the largest mean of a start up to the least mean of an end, over all stretches."""
+    at = sorted(set(score))
+    by = [[y for s, y in zip(score, label) if s == x] for x in at]
+    mean = lambda a, b: sum(map(sum, by[a : b + 1])) / sum(map(len, by[a : b + 1]))
+    return {x: max(min(mean(a, b) for b in range(k, len(at))) for a in range(k + 1)) for k, x in enumerate(at)}
+
+
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 1)), min_size=1, max_size=25))
+def test_isotonic(pairs):
+    score, label = np.array([float(s) for s, _ in pairs]), np.array([float(y) for _, y in pairs])
+    knots, levels = quality_classifier.isotonic(score, label)
+    for x, want in slow_isotonic(score.tolist(), label.tolist()).items():
+        assert np.interp(x, knots, levels) == pytest.approx(want)
+
+
+def test_fit_equals_one_solve(spark):
+    """Partition sums by fold against least squares over all rows at once, and the features against the exact kernel."""
+    q = quality_classifier
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, len(q.STATISTICS))).astype(np.float32)
+    y = (x[:, 0] + 0.3 * rng.normal(size=90) > 0).astype(int)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "doc_id long, x array<float>, y int")
+    model = q.fit(df.repartition(7))
+    x = x.astype(float)
+    fold = np.array([r.f for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(q.FOLDS)).alias("f")).orderBy("doc_id").collect()])
+    assert model.mean == pytest.approx(x.mean(0), abs=1e-5) and model.scale == pytest.approx(x.std(0), rel=1e-4)
+    z = model.features(x)
+
+    def solve(rows):
+        a = np.vstack([z[rows], np.sqrt(q.RIDGE * rows.sum() / q.FEATURES) * np.eye(z.shape[1])])
+        return np.linalg.lstsq(a, np.concatenate([y[rows], np.zeros(z.shape[1])]), rcond=None)[0]
+
+    assert model.weights == pytest.approx(solve(fold >= 0), abs=1e-6)
+    apart = np.array([z[i] @ solve(fold != fold[i]) for i in range(len(x))])
+    levels = slow_isotonic(apart.round(9).tolist(), y.tolist())
+    assert np.interp(apart, model.knots, model.levels) == pytest.approx([levels[s] for s in apart.round(9).tolist()], abs=1e-6)
+    unit = (x - model.mean) / model.scale
+    kernel = np.exp(-q.GAMMA * ((unit[:40, None] - unit[None, :40]) ** 2).sum(2))
+    assert np.abs(z[:40, :-1] @ z[:40, :-1].T - kernel).mean() < 0.08
+
+
+def test_work_folder(spark, monkeypatch):
+    """A cluster without spark.checkpoint.dir is refused; folders go when the JVM ends."""
+    from spanvec.llm import _common
+
+    sc = type("C", (), {"master": "spark://host:7077", "getConf": lambda self: {}, "getCheckpointDir": lambda self: None})()
+    fake = type("S", (), {"sparkContext": sc, "conf": type("R", (), {"get": lambda self, k, d: d})()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _common.work_dir(fake)
+
+
 def test_queries_cover_every_document(spark):
     n = documents(spark, SF).count()
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
