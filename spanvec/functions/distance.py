@@ -34,8 +34,11 @@ def sql_l2(a: str, b: str) -> str:
 
 
 def sql_cosine(a: str, b: str) -> str:
-    dot, na, nb = _sum("x_ * y_", a, b), _sum("x_ * x_", a, a), _sum("x_ * x_", b, b)
-    return _checked(a, b, f"CASE WHEN {na} = 0 OR {nb} = 0 THEN 1D ELSE 1D - {dot} / (sqrt({na}) * sqrt({nb})) END")
+    """One pass sums the product and both squares."""
+    pairs = f"zip_with({_DOUBLES.format(a)}, {_DOUBLES.format(b)}, (x_, y_) -> named_struct('x', x_, 'y', y_))"
+    step = "named_struct('d', s_.d + v_.x * v_.y, 'a', s_.a + v_.x * v_.x, 'b', s_.b + v_.y * v_.y)"
+    end = "CASE WHEN s_.a = 0 OR s_.b = 0 THEN 1D ELSE 1D - s_.d / (sqrt(s_.a) * sqrt(s_.b)) END"
+    return _checked(a, b, f"aggregate({pairs}, named_struct('d', 0D, 'a', 0D, 'b', 0D), (s_, v_) -> {step}, s_ -> {end})")
 
 
 def sql_negative_dot(a: str, b: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -45,6 +46,7 @@ class DatasetLayout:
     files: tuple[str, ...]
     before_file: tuple[int, ...]
     before_group: tuple[tuple[int, ...], ...]
+    rows: int = 0
 
     @classmethod
     def from_files(cls, files: list[str], prefix: str = "") -> DatasetLayout:
@@ -57,10 +59,27 @@ class DatasetLayout:
             footer = pq.read_metadata(paths[-1])
             groups.append([footer.row_group(i).num_rows for i in range(footer.num_row_groups)])
         before = [0, *accumulate(map(sum, groups))][: len(groups)]
-        return cls(tuple(paths), tuple(before), tuple(tuple([0, *accumulate(g)][: len(g)]) for g in groups))
+        return cls(tuple(paths), tuple(before), tuple(tuple([0, *accumulate(g)][: len(g)]) for g in groups), sum(map(sum, groups)))
 
     def row_number(self, key: int) -> int:
+        """Number of the packed key's row in the dataset."""
         file, group, offset = unpack(key)
         if file >= len(self.files):
             raise IndexError(f"file_idx={file} is not in the dataset of {len(self.files)} files")
+        if group >= len(self.before_group[file]):
+            raise IndexError(f"row group {group} is not in file {file} of {len(self.before_group[file])} groups")
         return self.before_file[file] + self.before_group[file][group] + offset
+
+    def row_number_column(self, key: Column) -> Column:
+        """As ``row_number``, over a column; null for a file or row group that the dataset lacks."""
+        file, group, offset = unpack_columns(key)
+        before = F.array(*(F.array(*(F.lit(a + b).cast("long") for b in groups)) for a, groups in zip(self.before_file, self.before_group)))
+        return F.get(F.get(before, file.cast("int")), group.cast("int")) + offset
+
+    def packed_key(self, row: int) -> int | None:
+        """Packed key of a row of the dataset; None beyond its end."""
+        if not 0 <= row < self.rows:
+            return None
+        file = bisect_right(self.before_file, row) - 1
+        group = bisect_right(self.before_group[file], row - self.before_file[file]) - 1
+        return pack(file, group, row - self.before_file[file] - self.before_group[file][group])

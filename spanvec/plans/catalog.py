@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +16,9 @@ from ..functions import keys
 from ..functions.distance import MACROS, METRICS, distance
 from ..operators.ivf import IvfIndex
 from ..operators.knn import KnnPlan, knn_join, nearest, vector_search
-from ..sources.lookup import Lookup, MemoryLookup
+from ..sources import files
+from ..sources.lookup import ArrowLookup, Lookup, MemoryLookup, PackedParquetLookup, SidecarBuilder, SqliteLookup, open_or_build
+from ..sources.workspace import work_path
 from ..streaming import ingest
 from .engine import Engine
 from .registry import IndexConfig, Registry, TableConfig
@@ -25,7 +26,8 @@ from .registry import IndexConfig, Registry, TableConfig
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-ENGINES: dict[int, Engine] = {}
+#: Indexes stored in this session, by table: an index is built once and then searched.
+_STORED: dict[tuple[str, str], str] = {}
 
 _TERM = {"l2sq": "(v[i]::DOUBLE - qv[i]::DOUBLE) * (v[i]::DOUBLE - qv[i]::DOUBLE)", "dot": "v[i]::DOUBLE * qv[i]::DOUBLE", "vv": "v[i]::DOUBLE * v[i]::DOUBLE", "qq": "qv[i]::DOUBLE * qv[i]::DOUBLE"}
 
@@ -179,7 +181,12 @@ def packed_keys(spark, sf):
 
 def _ivf(spark, sf, **config) -> Registry:
     e, r = table(spark, sf, "embeddings"), Registry()
-    index = IvfIndex.build(e, "vec_id", "embedding", IndexConfig(64))
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _STORED:
+        path = work_path(spark, "ivf")
+        IvfIndex.build(e, "vec_id", "embedding", IndexConfig(64), path)
+        _STORED[at] = path
+    index = IvfIndex.view(spark, _STORED[at])
     r.add("main::public::embeddings::embedding", e, e.select("vec_id", "label"), "vec_id", "embedding", IndexConfig(64), TableConfig(approximate=True, **config), index)
     return r
 
@@ -207,6 +214,130 @@ def adaptive_low_selectivity(spark, sf):
     return KnnPlan("embeddings", entry, tuple(vector(spark, sf)), 5, ("label = 1", "vec_id < 100")).execute()
 
 
+def _sql_engine(spark, sf, **config) -> Engine:
+    """An engine whose SQL searches the stored index."""
+    r = _ivf(spark, sf, **config)
+    e = Engine(spark, r)
+    e.spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "false")
+    view = "embeddings"
+    r.get("main::public::embeddings::embedding").scan.createOrReplaceTempView(view)
+    e.views["main.public.embeddings"] = view
+    return e
+
+
+@add("ivf_sql_all_lists", f"SELECT vec_id, label, {_duck('l2sq')} AS dist FROM embeddings {_Q} WHERE label < 8 ORDER BY dist, vec_id LIMIT 10")
+def ivf_sql_all_lists(spark, sf):
+    """SQL with a filter that most rows pass, by the index with every list probed."""
+    q = _literal(spark, sf)
+    return _sql_engine(spark, sf, nprobe=10**6).sql(f"SELECT vec_id, label, l2_distance(embedding, {q}) AS dist FROM main.public.embeddings WHERE label < 8 ORDER BY dist, vec_id LIMIT 10")
+
+
+@add("adaptive_sql_low_selectivity", f"SELECT vec_id, label, {_duck('l2sq')} AS dist FROM embeddings {_Q} WHERE label = 1 AND vec_id < 100 ORDER BY dist, vec_id LIMIT 5")
+def adaptive_sql_low_selectivity(spark, sf):
+    """SQL with a filter that few rows pass, which is answered exactly."""
+    q = _literal(spark, sf)
+    return _sql_engine(spark, sf).sql(f"SELECT vec_id, label, l2_distance(embedding, {q}) AS dist FROM main.public.embeddings WHERE label = 1 AND vec_id < 100 ORDER BY dist, vec_id LIMIT 5")
+
+
+def _local(path: str) -> str:
+    """A path of the shared folder as the file system knows it."""
+    return path.removeprefix("file://").replace("file:", "", 1) if path.startswith("file:") else path
+
+
+@add("sidecar_roundtrip", "SELECT vec_id, label FROM embeddings")
+def sidecar_roundtrip(spark, sf):
+    """Pushed in two batches, finished, and read again."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    with SidecarBuilder(spark, f"{work_path(spark, 'sidecar')}/kv", "vec_id") as b:
+        b.push(e.where("label >= 5"))
+        b.push(e.where("label < 5"))
+        return b.finish().scan()
+
+
+@add("sidecar_fetch", "SELECT label, vec_id FROM embeddings WHERE vec_id IN (0, 17, 499)")
+def sidecar_fetch(spark, sf):
+    with SidecarBuilder(spark, f"{work_path(spark, 'sidecar')}/kv", "vec_id") as b:
+        b.push(table(spark, sf, "embeddings").select("vec_id", "label"))
+        return b.finish().fetch_by_keys([17, 0, 499, -3, 17], ["label", "vec_id"])
+
+
+@add("open_or_build", "SELECT count(*) AS n, count(DISTINCT p_partkey) AS parts, 0::BIGINT AS lo, count(*) - 1 AS hi FROM part")
+def open_or_build_query(spark, sf):
+    """Built from Parquet files with keys by file and row, then opened without them."""
+    path = f"{work_path(spark, 'store')}/kv"
+    open_or_build(spark, path, "row_key", _files_of(spark, sf, "part"))
+    rows = open_or_build(spark, path, "row_key", []).scan()
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("parts"), F.min("row_key").alias("lo"), F.max("row_key").alias("hi"))
+
+
+def _files_of(spark, sf, name: str) -> list[str]:
+    return sorted(_local(f) for f in table(spark, sf, name).inputFiles())
+
+
+_ROWS = (0, 1, 7, 99, 148, 100_000_000)
+
+
+@add("parquet_packed_key", f"SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS r FROM customer) WHERE r IN {_ROWS}")
+def parquet_packed_key(spark, sf):
+    """Rows by file, row group and offset, from files of several row groups that hold the table in order."""
+    path = f"{work_path(spark, 'packed')}/files"
+    rows = table(spark, sf, "customer").repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey")
+    rows.write.option("parquet.block.row.count.limit", 40).parquet(path)
+    layout = keys.DatasetLayout.from_files(sorted(_local(f) for f in spark.read.parquet(path).inputFiles()))
+    return PackedParquetLookup(spark, layout).fetch_by_keys([layout.packed_key(r) for r in _ROWS if layout.packed_key(r) is not None], ["c_custkey", "c_name"])
+
+
+def _sqlite(spark, sf) -> SqliteLookup:
+    path = f"{_local(work_path(spark, 'sqlite'))}/suppliers.db"
+    files.write_sqlite(table(spark, sf, "supplier"), path, "supplier of parts", "s_suppkey")
+    return SqliteLookup(spark, path, "supplier of parts", "s_suppkey")
+
+
+@add("sqlite_scan", "SELECT * FROM supplier")
+def sqlite_scan(spark, sf):
+    return _sqlite(spark, sf).scan()
+
+
+@add("sqlite_fetch", "SELECT s_name, s_suppkey FROM supplier WHERE s_suppkey IN (2, 5, 9)")
+def sqlite_fetch(spark, sf):
+    return _sqlite(spark, sf).fetch_by_keys([9, 2, 5, 2, -1], ["s_name", "s_suppkey"])
+
+
+@add("sqlite_types", "SELECT event_id, ts, value, event_type, ts::DATE AS day, value > 50 AS large FROM events")
+def sqlite_types(spark, sf):
+    """Timestamps, dates, booleans and doubles through SQLite cells."""
+    rows = table(spark, sf, "events").select("event_id", "ts", "value", "event_type", F.to_date("ts").alias("day"), (F.col("value") > 50).alias("large"))
+    path = f"{_local(work_path(spark, 'sqlite'))}/events.db"
+    files.write_sqlite(rows, path, "events", "event_id")
+    return SqliteLookup(spark, path, "events", "event_id").scan()
+
+
+def _ipc(spark, sf) -> ArrowLookup:
+    path = f"{_local(work_path(spark, 'ipc'))}/store"
+    files.write_arrow_ipc(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"), path, "o_orderkey")
+    return ArrowLookup(spark, path, "o_orderkey")
+
+
+@add("ipc_scan", "SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus FROM orders")
+def ipc_scan(spark, sf):
+    return _ipc(spark, sf).scan()
+
+
+@add("ipc_fetch", "SELECT o_orderstatus, o_orderkey FROM orders WHERE o_orderkey IN (1, 3, 7, 1000)")
+def ipc_fetch(spark, sf):
+    return _ipc(spark, sf).fetch_by_keys([1000, 7, 3, 1, 7, -5], ["o_orderstatus", "o_orderkey"])
+
+
+@add("join_asof_two_tables", "SELECT p.event_id, l.ts AS last_signup FROM (SELECT * FROM events WHERE event_type <> 'signup') p ASOF LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'signup') l ON p.user_id = l.user_id AND p.ts >= l.ts")
+def join_asof_two_tables(spark, sf):
+    """For each row of one table the latest row of another that is not later: both in one order, the last of the other's carried on."""
+    e = table(spark, sf, "events")
+    left = e.where("event_type <> 'signup'").select("user_id", "ts", "event_id", F.lit(None).cast("timestamp_ntz").alias("signup"), F.lit(1).alias("side"))
+    right = e.where("event_type = 'signup'").select("user_id", "ts", F.lit(None).cast("long").alias("event_id"), F.col("ts").alias("signup"), F.lit(0).alias("side"))
+    w = Window.partitionBy("user_id").orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, 0)
+    return left.unionByName(right).withColumn("last_signup", F.last("signup", ignorenulls=True).over(w)).where("side = 1").select("event_id", "last_signup")
+
+
 @add("windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_counts(spark, sf):
     return ingest.windowed_counts(table(spark, sf, "events"), "ts", "1 hour", "10 minutes", "event_type")
@@ -227,6 +358,7 @@ def _host_queries() -> None:
     host("join_full", f"SELECT c_custkey, s_suppkey FROM {c} FULL OUTER JOIN {s} ON c_custkey = s_suppkey")
     host("join_semi", f"SELECT c_custkey, c_name FROM {c} WHERE EXISTS (SELECT 1 FROM {o} WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
     host("join_anti", f"SELECT c_custkey, c_name FROM {c} WHERE NOT EXISTS (SELECT 1 FROM {o} WHERE o_custkey = c_custkey)")
+    host("join_anti_large", f"SELECT c_custkey, c_name FROM {c} LEFT ANTI JOIN {o} ON o_custkey = c_custkey AND o_totalprice > 200000", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
     host("join_cross", f"SELECT r_name, n_name FROM {r} CROSS JOIN {n}")
     host("join_theta", f"SELECT a.n_name AS a_name, b.n_name AS b_name FROM {n} a JOIN {n} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
     # both sides meet by thirds, so that no row meets the whole other table
@@ -237,7 +369,7 @@ def _host_queries() -> None:
     )
     host(
         "join_asof",
-        f"SELECT event_id, last_login FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'login' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS last_login FROM {ev})",
+        f"SELECT event_id, last_signup FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS last_signup FROM {ev})",
     )
     host("agg_distinct", f"SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM {o} GROUP BY o_orderpriority")
     host("agg_rollup", f"SELECT l_returnflag, l_linestatus, count(*) AS n FROM {li} GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -254,6 +386,17 @@ def _host_queries() -> None:
     host("set_union_all", f"SELECT c_nationkey AS k FROM {c} UNION ALL SELECT s_nationkey FROM {s}")
     host("set_intersect", f"SELECT c_nationkey AS k FROM {c} INTERSECT SELECT s_nationkey FROM {s}")
     host("set_except", f"SELECT n_nationkey AS k FROM {n} EXCEPT SELECT s_nationkey FROM {s}")
+    host("set_intersect_all", f"SELECT c_nationkey AS k FROM {c} INTERSECT ALL SELECT s_nationkey FROM {s}")
+    host("set_except_all", f"SELECT c_nationkey AS k FROM {c} EXCEPT ALL SELECT s_nationkey FROM {s}")
+    host(
+        "window_ranges",
+        f"SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS near_total, count(*) OVER w AS near, nth_value(o_orderkey, 2) OVER v AS second, last_value(o_orderkey) OVER v AS last_key FROM {o} WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING), v AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    )
+    host(
+        "map_functions",
+        f"SELECT n_nationkey, map(n_name, n_regionkey)[n_name] AS own, size(map(n_name, 1, 'x', 2)) AS n, array_join(map_keys(map(n_name, n_regionkey)), ',') AS ks, map_values(map(n_name, n_regionkey))[0] AS v FROM {n}",
+        "SELECT n_nationkey, MAP {n_name: n_regionkey}[n_name] AS own, cardinality(MAP {n_name: 1, 'x': 2})::INTEGER AS n, array_to_string(map_keys(MAP {n_name: n_regionkey}), ',') AS ks, map_values(MAP {n_name: n_regionkey})[1] AS v FROM nation",
+    )
     host("top_k", f"SELECT o_orderkey, o_totalprice FROM {o} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
     host("string_functions", f"SELECT p_partkey, upper(p_name) AS up, substring(p_name, 2, 5) AS sub, length(p_name) AS len, replace(p_brand, '#', '-') AS rep, trim(concat('  ', p_type, ' ')) AS tr FROM {p}")
     host("math_functions", f"SELECT c_custkey, abs(c_acctbal) AS ab, floor(c_acctbal) AS fl, ceil(c_acctbal) AS ce, round(sqrt(abs(c_acctbal)), 6) AS sq, c_custkey % 7 AS md FROM {c}", f"SELECT c_custkey, abs(c_acctbal) AS ab, floor(c_acctbal)::BIGINT AS fl, ceil(c_acctbal)::BIGINT AS ce, round(sqrt(abs(c_acctbal)), 6) AS sq, c_custkey % 7 AS md FROM {c}")
@@ -265,4 +408,3 @@ def _host_queries() -> None:
 
 
 _register()
-_ = Path

@@ -5,18 +5,22 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import distance as distances
-from ..operators.knn import vector_search
+from ..operators.knn import use_index, vector_search
 from ..sources import files
 from . import dialect, matcher
-from .registry import Registry, RegisteredTable
+from .registry import Registry, RegisteredTable, Resolver
+
+#: Keys of an index search that go into a scan's filter; a query for more rows runs exactly.
+MOST_KEYS = 1_000
 
 
 class Engine:
     """``register_all``: distance functions, data sources, and a registry under one roof."""
 
-    def __init__(self, spark: SparkSession, registry: Registry | None = None):
+    def __init__(self, spark: SparkSession, registry: Resolver | None = None):
         self.spark, self.registry = spark, registry or Registry()
         self.views: dict[str, str] = {}
         self.last_query_stats: dict = {}
@@ -51,37 +55,40 @@ class Engine:
         return self.spark.sql(dialect.expand_distances(text)) if pruned is None else pruned
 
     def plan(self, text: str) -> matcher.Match | None:
-        """The k-NN search that a query amounts to if its table has an index with the same metric, else None."""
+        """The k-NN search that a query amounts to if its table is registered with the same metric, else None."""
         found = matcher.match(self.spark.sql(dialect.arrays(dialect.tables(text, self.views))))
-        entry = self._entry(found)
-        return found if entry and entry.config.metric == found.metric else None
+        name = self._name(found)
+        return found if name and self.registry.peek(name).config.metric == found.metric else None
 
-    def _entry(self, found: matcher.Match | None) -> RegisteredTable | None:
-        if found is None:
-            return None
-        return next((e for n in self.registry.names() if n.split("::")[-2:] == [found.table, found.column] for e in [self.registry.get(n)]), None)
+    def _name(self, found: matcher.Match | None) -> str | None:
+        return found and next((n for n in self.registry.names() if n.split("::")[-2:] == [found.table, found.column]), None)
 
     def _pruned(self, text: str) -> DataFrame | None:
-        """The same query over only the lists nearest to its vector; more of them while it has fewer than k rows.
+        """The same query over only the rows that the stored index finds; None if it is to run exactly.
 
-        So a filter costs no rows; one that hardly any row passes ends with all lists, which is exact.
+        The index gives the keys of the k nearest, among those that pass the
+        query's filter if it has one and enough rows pass; the scan then reads these rows.
         """
-        if not any(e.index is not None and e.table.approximate for n in self.registry.names() for e in [self.registry.get(n)]):
+        if not any((m := self.registry.peek(n)) and m.table.approximate for n in self.registry.names()):
             return None
         found = self.plan(text)
-        entry = self._entry(found)
-        if entry is None or entry.index is None or not entry.table.approximate or len(found.query) != entry.config.dimensions:
+        if found is None or found.k > MOST_KEYS:
+            return None
+        entry = self.registry.prepare(self._name(found))
+        if not entry.table.approximate or len(found.query) != entry.config.dimensions:
+            return None
+        stats: dict = {}
+        rows = DataFrame(self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, found.valid), self.spark) if found.filtered else None
+        indexed = use_index(entry, rows, stats)
+        self.last_query_stats = stats | {"filtered": found.filtered}
+        if not indexed:
             return None
-        index, probes = entry.index, max(1, entry.table.nprobe)
-        order, assigned = index.order(found.query), index.assigned(entry.scan)
-        while True:
-            view, lists = f"_lists_{uuid.uuid4().hex}", order[:probes]
-            assigned.where(f"list_id in ({', '.join(map(str, lists))})").drop("list_id").createOrReplaceTempView(view)
-            out = self.spark.sql(dialect.expand_distances(dialect.tables(text, {found.table: view})))
-            if probes >= len(order) or out.count() >= found.k:
-                self.last_query_stats = {"path": "index", "lists_read": len(lists), "lists": len(order), "filtered": found.filtered}
-                return out
-            probes *= 2
+        near = entry.index.search(self.spark, found.query, found.k, entry.table.nprobe, rows, stats)
+        self.last_query_stats |= stats
+        keys = [r[0] for r in near.select(entry.key).collect()]
+        view = f"_near_{uuid.uuid4().hex}"
+        entry.scan.where(F.col(entry.key).isin(keys)).createOrReplaceTempView(view)
+        return self.spark.sql(dialect.expand_distances(dialect.tables(text, {found.table: view})))
 
 
 def register_all(spark: SparkSession, registry: Registry | None = None) -> Engine:

@@ -8,6 +8,8 @@ Files are opened by the executors, so they must be at a path that all share.
 
 from __future__ import annotations
 
+import contextlib
+import datetime
 import json
 import os
 import shutil
@@ -15,11 +17,12 @@ import sqlite3
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 BATCH = 1024
@@ -48,12 +51,38 @@ class _Range(InputPartition):
 
 
 class SqliteReader(DataSourceReader):
+    """Ranges of rowid, with the conditions that SQLite can judge by itself."""
+
+    _OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
     def __init__(self, options: dict, schema: T.StructType):
         self.path, self.table, self.parts, self.schema = options["path"], options["table"], int(options.get("partitions", 4)), schema
+        self.where, self.values = [], []
+
+    def pushFilters(self, filters):
+        """Comparisons of whole numbers and texts, and tests for null, go to SQLite; the others stay with Spark."""
+        kinds = {f.name: type(f.dataType) for f in self.schema}
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            plain = kinds.get(name) in (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.StringType)
+            if plain and type(f) in self._OPERATORS:
+                self.where.append(f"{quote_ident(name)} {self._OPERATORS[type(f)]} ?")
+                self.values.append(f.value)
+            elif plain and isinstance(f, In) and len(f.value) <= MOST_VALUES:
+                self.where.append(f"{quote_ident(name)} IN ({', '.join('?' * len(f.value))})")
+                self.values += f.value
+            elif name in kinds and isinstance(f, IsNotNull):
+                self.where.append(f"{quote_ident(name)} IS NOT NULL")
+            else:
+                yield f
+
+    def _select(self, db, what: str, *more: str):
+        where = " AND ".join([*self.where, *more])
+        return f"SELECT {what} FROM {quote_ident(self.table)}" + (f" WHERE {where}" if where else "")
 
     def partitions(self):
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quote_ident(self.table)}").fetchone()
+        with contextlib.closing(sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)) as db:
+            low, high = db.execute(self._select(db, "min(rowid), max(rowid)"), self.values).fetchone()
         if low is None:
             return [_Range(0, 0)]
         step = -(-(high - low + 1) // self.parts)
@@ -63,14 +92,11 @@ class SqliteReader(DataSourceReader):
         schema = T.StructType([*self.schema])
         names = ", ".join(quote_ident(f.name) for f in schema)
         arrow = pa.schema([(f.name, _arrow_of(f.dataType)) for f in schema])
-        db = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-        try:
-            rows = db.execute(f"SELECT {names} FROM {quote_ident(self.table)} WHERE rowid >= ? AND rowid < ?", (part.low, part.high))
+        with contextlib.closing(sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)) as db:
+            rows = db.execute(self._select(db, names, "rowid >= ?", "rowid < ?"), [*self.values, part.low, part.high])
             while batch := rows.fetchmany(BATCH):
                 cols = [pa.array([_from_cell(v, f.dataType) for v in c], arrow.field(i).type) for i, (c, f) in enumerate(zip(zip(*batch), schema))]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-        finally:
-            db.close()
 
 
 def _arrow_of(t: T.DataType) -> pa.DataType:
@@ -84,15 +110,53 @@ def _from_cell(v, t: T.DataType):
         return None
     if isinstance(t, T.ArrayType):
         return json.loads(v)
+    if isinstance(t, T.DateType):
+        return datetime.date(1970, 1, 1) + datetime.timedelta(days=v)
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        at = datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=v)
+        return at.replace(tzinfo=datetime.timezone.utc) if isinstance(t, T.TimestampType) else at
     return bool(v) if isinstance(t, T.BooleanType) else v
 
 
+#: Table that keeps the types of the tables written here.
+TYPES = "_column_types"
+#: Values of a condition that SQLite takes at once.
+MOST_VALUES = 900
+
+
+def has_table(path: str, table: str) -> bool:
+    if not os.path.exists(path):
+        return False
+    with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+        return db.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", [table]).fetchone() is not None
+
+
+def ensure_key_index(path: str, table: str, key: str) -> bool:
+    """Makes an index on ``key`` unless it is the primary key or leads an index; whether one was made."""
+    with contextlib.closing(sqlite3.connect(path)) as db, db:
+        if any(c[1] == key and c[5] == 1 for c in db.execute(f"PRAGMA table_info({quote_ident(table)})")):
+            return False
+        for i in db.execute(f"PRAGMA index_list({quote_ident(table)})").fetchall():
+            leads = db.execute(f"PRAGMA index_info({quote_ident(i[1])})").fetchone()
+            if leads and leads[2] == key:
+                return False
+        db.execute(f"CREATE INDEX {quote_ident(f'{table}_{key}')} ON {quote_ident(table)} ({quote_ident(key)})")
+        return True
+
+
 class SqliteTable(DataSource):
+    """Types are those the table was written with here, or follow from SQLite's own."""
+
     @classmethod
     def name(cls) -> str:
         return "sqlite_table"
 
     def schema(self):
+        if has_table(self.options["path"], TYPES):
+            with contextlib.closing(sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)) as db:
+                known = db.execute(f"SELECT types FROM {TYPES} WHERE name = ?", [self.options["table"]]).fetchone()
+            if known:
+                return T.StructType.fromJson(json.loads(known[0]))
         with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as db:
             cols = db.execute(f"PRAGMA table_info({quote_ident(self.options['table'])})").fetchall()
         kinds = {"INTEGER": T.LongType(), "REAL": T.DoubleType(), "BLOB": T.BinaryType()}
@@ -116,8 +180,10 @@ def write_sqlite(df: DataFrame, path: str, table: str, key: str) -> None:
     try:
         with db:
             db.execute(f"CREATE TABLE {quote_ident(table)} ({cols})")
+            db.execute(f"CREATE TABLE IF NOT EXISTS {TYPES} (name TEXT PRIMARY KEY, types TEXT)")
+            db.execute(f"INSERT INTO {TYPES} VALUES (?, ?)", [table, df.schema.json()])
             marks = ", ".join("?" * len(kinds))
-            db.executemany(f"INSERT INTO {quote_ident(table)} VALUES ({marks})", (tuple(_to_cell(v) for v in r) for r in df.toLocalIterator()))
+            db.executemany(f"INSERT INTO {quote_ident(table)} VALUES ({marks})", (tuple(_to_cell(v) for v in r) for r in _without_zones(df).toLocalIterator()))
         db.close()
         os.replace(temp, path)
     except BaseException:
@@ -126,15 +192,18 @@ def write_sqlite(df: DataFrame, path: str, table: str, key: str) -> None:
         raise
 
 
-def _to_cell(v):
-    import datetime
+def _without_zones(df: DataFrame) -> DataFrame:
+    """Instants as microseconds since 1970, which no time zone of a driver moves."""
+    return df.select(*(F.unix_micros(F.col(f"`{f.name.replace('`', '``')}`")).alias(f.name) if type(f.dataType) is T.TimestampType else F.col(f"`{f.name.replace('`', '``')}`") for f in df.schema))
 
+
+def _to_cell(v):
     if isinstance(v, bool):
         return int(v)
     if isinstance(v, list):
         return json.dumps(v)
     if isinstance(v, datetime.datetime):
-        return int((v - datetime.datetime(1970, 1, 1, tzinfo=v.tzinfo)) / datetime.timedelta(microseconds=1))
+        return (v - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
     if isinstance(v, datetime.date):
         return (v - datetime.date(1970, 1, 1)).days
     return bytes(v) if isinstance(v, bytearray) else v
@@ -151,10 +220,21 @@ def _ipc_files(path: str) -> list[str]:
 
 
 class ArrowIpcReader(DataSourceReader):
-    """One task for each record batch, in file order."""
+    """One task for each record batch, in file order. Of a batch that no row passes, only the columns of the conditions are read."""
 
-    def __init__(self, path: str):
-        self.path = path
+    _COMPARE = {EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal}
+
+    def __init__(self, path: str, schema: T.StructType):
+        self.path, self.schema, self.conditions = path, schema, []
+
+    def pushFilters(self, filters):
+        """Conditions on columns of whole numbers are judged here; the others stay with Spark."""
+        whole = {f.name for f in self.schema if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))}
+        for f in filters:
+            if (type(f) in self._COMPARE or isinstance(f, (In, IsNotNull))) and len(f.attribute) == 1 and f.attribute[0] in whole:
+                self.conditions.append(f)
+            else:
+                yield f
 
     def partitions(self):
         found = []
@@ -163,10 +243,28 @@ class ArrowIpcReader(DataSourceReader):
                 found += [_Batch(path, i) for i in range(pa.ipc.open_file(source).num_record_batches)]
         return found or [_Batch("", 0)]
 
+    def _passing(self, batch):
+        mask = None
+        for f in self.conditions:
+            column = batch.column(f.attribute[0])
+            if isinstance(f, IsNotNull):
+                one = pc.is_valid(column)
+            elif isinstance(f, In):
+                one = pc.is_in(column, pa.array(f.value, column.type))
+            else:
+                one = self._COMPARE[type(f)](column, pa.scalar(f.value, column.type))
+            mask = one if mask is None else pc.and_(mask, one)
+        return mask
+
     def read(self, part):
         if part.path:
             with pa.memory_map(part.path) as source:
-                yield pa.ipc.open_file(source).get_batch(part.index)
+                batch = pa.ipc.open_file(source).get_batch(part.index)
+                mask = self._passing(batch)
+                if mask is None:
+                    yield batch
+                elif pc.any(mask).as_py():
+                    yield batch.filter(mask)
 
 
 class ArrowIpc(DataSource):
@@ -176,10 +274,10 @@ class ArrowIpc(DataSource):
 
     def schema(self):
         with pa.memory_map(_ipc_files(self.options["path"])[0]) as source:
-            return from_arrow_schema(pa.ipc.open_file(source).schema)
+            return from_arrow_schema(pa.ipc.open_file(source).schema, prefer_timestamp_ntz=True)
 
     def reader(self, schema):
-        return ArrowIpcReader(self.options["path"])
+        return ArrowIpcReader(self.options["path"], schema)
 
 
 def unsigned_order(key: str) -> list[Column]:
@@ -244,5 +342,6 @@ def check_ascending(df: DataFrame, key: str) -> None:
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteTable)
     spark.dataSource.register(ArrowIpc)

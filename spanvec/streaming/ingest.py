@@ -11,10 +11,9 @@ from ..sources.lookup import SidecarBuilder
 def feed(stream: DataFrame, builder: SidecarBuilder, checkpoint: str):
     """A query that pushes each micro-batch into the builder; call ``finish`` on it after the stream ends.
 
-    A batch that is run again after a failure would be pushed twice, which
-    ``finish`` reports as repeated keys.
+    A batch that is run again after a failure takes the place of its first run.
     """
-    return stream.writeStream.foreachBatch(lambda df, _: builder.push(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(builder.push).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", every: str = "1 hour", late: str = "10 minutes", *by: str) -> DataFrame:

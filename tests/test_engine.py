@@ -18,7 +18,7 @@ from spanvec.sources import files
 from spanvec.sources.lookup import ArrowLookup, Lookup, MemoryLookup, PackedParquetLookup, SidecarBuilder, open_or_build
 
 Q = "ARRAY[1.0, 0.0, 0.0, 0.0]"
-ROWS = [(1, "alpha", [1.0, 0.0, 0.0, 0.0]), (2, "beta", [0.0, 1.0, 0.0, 0.0]), (3, "gamma", [0.0, 0.0, 1.0, 0.0]), (4, "alpha", [0.0, 0.0, 0.0, 1.0])]
+ROWS = [(1, "red", [1.0, 0.0, 0.0, 0.0]), (2, "green", [0.0, 1.0, 0.0, 0.0]), (3, "blue", [0.0, 0.0, 1.0, 0.0]), (4, "red", [0.0, 0.0, 0.0, 1.0])]
 
 
 @pytest.fixture(scope="module")
@@ -27,10 +27,10 @@ def items(spark):
 
 
 @pytest.fixture(scope="module")
-def engine(spark, items):
+def engine(spark, items, tmp_path_factory):
     e = Engine(spark)
-    index = IvfIndex.build(items, "id", "vector", IndexConfig(4, lists=2))
-    e.add_table("datafusion.public.items", "vector", scan=items, lookup=items.select("id", "label"), key="id", config=IndexConfig(4, lists=2), table=TableConfig(approximate=True, nprobe=2), index=index)
+    index = IvfIndex.build(items, "id", "vector", IndexConfig(4, lists=2), f"{tmp_path_factory.mktemp('index')}/ivf")
+    e.add_table("lake.demo.items", "vector", scan=items, lookup=items.select("id", "label"), key="id", config=IndexConfig(4, lists=2), table=TableConfig(approximate=True, nprobe=2), index=index)
     return e
 
 
@@ -62,8 +62,8 @@ SHAPES = [
     (f"SELECT id, l2_distance(vector, {Q}) AS d FROM items ORDER BY d LIMIT 2", True),
     (f"SELECT id FROM items ORDER BY l2_distance(vector, {Q}) LIMIT 2", True),
     (f"SELECT * FROM items ORDER BY l2_distance(vector, {Q}) LIMIT 2", True),
-    (f"SELECT id FROM items WHERE label = 'alpha' ORDER BY l2_distance(vector, {Q}) LIMIT 2", True),
-    (f"SELECT id FROM datafusion.public.items ORDER BY l2_distance(vector, {Q}) LIMIT 2", True),
+    (f"SELECT id FROM items WHERE label = 'red' ORDER BY l2_distance(vector, {Q}) LIMIT 2", True),
+    (f"SELECT id FROM lake.demo.items ORDER BY l2_distance(vector, {Q}) LIMIT 2", True),
     (f"SELECT id FROM items ORDER BY l2_distance(vector, {Q})", False),
     (f"SELECT id FROM items ORDER BY l2_distance(vector, {Q}) DESC LIMIT 2", False),
     (f"SELECT id FROM items ORDER BY cosine_distance(vector, {Q}) LIMIT 2", False),
@@ -81,14 +81,14 @@ def test_shapes(engine, sql, matches):
 
 def test_ordering_and_filters(engine):
     assert engine.sql(f"SELECT id FROM items ORDER BY l2_distance(vector, {Q}) DESC, id LIMIT 3").collect() == [(2,), (3,), (4,)]
-    assert engine.sql(f"SELECT id FROM items WHERE label = 'alpha' ORDER BY l2_distance(vector, {Q}) LIMIT 9").collect() == [(1,), (4,)]
+    assert engine.sql(f"SELECT id FROM items WHERE label = 'red' ORDER BY l2_distance(vector, {Q}) LIMIT 9").collect() == [(1,), (4,)]
     assert engine.sql(f"SELECT id FROM items WHERE label = 'none' ORDER BY l2_distance(vector, {Q}) LIMIT 9").collect() == []
 
 
 def test_table_function(engine):
-    call = f"vector_search_vector('datafusion.public.items', 'vector', {Q}, 2)"
-    assert engine.sql(f"SELECT id, label, _distance FROM {call} ORDER BY _distance, id LIMIT 1").collect() == [(1, "alpha", 0.0)]
-    for bad, error in ((call.replace("datafusion.public.items", "a.b"), "Expected 'connection.schema.table'"), (call.replace("items", "none"), "no loaded vector index"), (call.replace(", 2)", ")"), "expected 4 arguments"), (call.replace(", 2)", ", -1)"), "not be")):
+    call = f"vector_search_vector('lake.demo.items', 'vector', {Q}, 2)"
+    assert engine.sql(f"SELECT id, label, _distance FROM {call} ORDER BY _distance, id LIMIT 1").collect() == [(1, "red", 0.0)]
+    for bad, error in ((call.replace("lake.demo.items", "a.b"), "Expected 'connection.schema.table'"), (call.replace("items", "none"), "no loaded vector index"), (call.replace(", 2)", ")"), "expected 4 arguments"), (call.replace(", 2)", ", -1)"), "not be")):
         with pytest.raises((ValueError, LookupError), match=error if error != "not be" else "below zero"):
             engine.sql(f"SELECT * FROM {bad}")
 
@@ -111,7 +111,7 @@ def test_registry_messages(items):
 
 
 def test_adaptive_paths(engine):
-    entry = engine.registry.get("datafusion::public::items::vector")
+    entry = engine.registry.get("lake::demo::items::vector")
     stats = {}
     got = KnnPlan("items", entry, (1.0, 0.0, 0.0, 0.0), 2, ("label = 'none'",)).execute(stats)
     assert got.count() == 0 and stats["path"] == "exact" and stats["valid_rows"] == 0
@@ -123,12 +123,12 @@ def test_adaptive_paths(engine):
     assert "filters=[id > 1]" in KnnPlan("items", entry, (1.0,), 2, ("id > 1",)).explain()
 
 
-def test_ivf_recall(spark):
+def test_ivf_recall(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    index = IvfIndex.build(e, "vec_id", "embedding", IndexConfig(64))
+    index = IvfIndex.build(e, "vec_id", "embedding", IndexConfig(64), f"{tmp_path}/ivf")
     hit, queries = 0.0, [r[0] for r in e.where("vec_id % 200 = 0").select("embedding").collect()]
     for q in queries:
-        hit += recall(index.search(e, q, 10, TableConfig().nprobe), nearest(e, "embedding", q, 10, key="vec_id"), "vec_id")
+        hit += recall(index.search(spark, q, 10, TableConfig().nprobe), nearest(e, "embedding", q, 10, key="vec_id"), "vec_id")
     assert hit / len(queries) >= 0.9
 
 
@@ -189,8 +189,8 @@ def test_sqlite_and_ipc(spark, engine, tmp_path):
     day = datetime.date(2024, 2, 29)
     df = spark.createDataFrame([(1, 'a"b', [1, 2], True, day, 0.5), (7, None, None, None, None, None)], 'id long, `na"me` string, xs array<long>, flag boolean, day date, x double')
     files.write_sqlite(df, f"{tmp_path}/t.db", 'odd "table', "id")
-    back = spark.read.format("sqlite_table").schema('id long, `na"me` string, xs array<long>, flag boolean').option("path", f"{tmp_path}/t.db").option("table", 'odd "table').load()
-    assert sorted(map(tuple, back.collect())) == [(1, 'a"b', [1, 2], True), (7, None, None, None)]
+    back = spark.read.format("sqlite_table").option("path", f"{tmp_path}/t.db").option("table", 'odd "table').load()
+    assert back.schema == df.schema and sorted(map(tuple, back.collect())) == [(1, 'a"b', [1, 2], True, day, 0.5), (7, None, None, None, None, None)]
     with pytest.raises(TypeError, match="price"):
         files.write_sqlite(spark.sql("SELECT 1L AS id, 1.50BD AS price"), f"{tmp_path}/u.db", "t", "id")
     table = pa.table({"k": [1, 2, 3], "v": ["x", None, "z"]})
@@ -210,17 +210,20 @@ def test_streaming_feed(spark, tmp_path):
 
 def test_vector_search_arguments(engine):
     with pytest.raises(ValueError, match="below zero"):
-        vector_search(engine.registry, "datafusion.public.items", "vector", [1.0, 0, 0, 0], -1)
+        vector_search(engine.registry, "lake.demo.items", "vector", [1.0, 0, 0, 0], -1)
 
 
-@pytest.mark.parametrize("where, k, want", [("", 4, [1, 2, 3, 4]), ("WHERE label <> 'beta'", 3, [1, 3, 4]), ("WHERE label = 'beta'", 2, [2]), ("WHERE id > 9", 1, [])])
-def test_sql_index_widens_to_whole_results(spark, items, where, k, want):
+@pytest.mark.parametrize("where, k, want", [("", 4, [1, 2, 3, 4]), ("WHERE label <> 'green'", 3, [1, 3, 4]), ("WHERE label = 'green'", 2, [2]), ("WHERE id > 9", 1, [])])
+def test_sql_index_widens_to_whole_results(spark, items, tmp_path, where, k, want):
     e = Engine(spark)
-    index = IvfIndex.build(items, "id", "vector", IndexConfig(4, lists=4))
+    index = IvfIndex.build(items, "id", "vector", IndexConfig(4, lists=4), f"{tmp_path}/ivf")
     e.add_table("a.b.widening", "vector", scan=items, lookup=items, key="id", config=IndexConfig(4, lists=4), table=TableConfig(approximate=True, nprobe=1), index=index)
     found = e.sql(f"SELECT id FROM widening {where} ORDER BY l2_distance(vector, {Q}), id LIMIT {k}").collect()
     assert sorted(r["id"] for r in found) == want
-    assert e.last_query_stats["path"] == "index" and e.last_query_stats["filtered"] == bool(where)
+    few = where == "WHERE id > 9"
+    assert e.last_query_stats["path"] == ("exact" if few else "index") and e.last_query_stats["filtered"] == bool(where)
+    if where:
+        assert e.last_query_stats["selectivity"] == len(items.where(where[6:]).collect()) / 4
 
 
 def test_arrow_ipc_builder(spark, tmp_path):
