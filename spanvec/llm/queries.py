@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.workspace import work_path
 from . import bpe, license_scan, lm_score, minhash, mixing, quality_classifier, quality_rules, secrets, simhash, token_counts
-from ._common import documents, work_path
+from ._common import documents
 from .oracles import ORACLES
 
 TOKENIZERS = "/opt/tokenizers"

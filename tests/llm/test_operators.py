@@ -696,16 +696,6 @@ def test_fit_equals_one_solve(spark):
     assert np.abs(z[:40, :-1] @ z[:40, :-1].T - kernel).mean() < 0.08
 
 
-def test_work_folder(spark, monkeypatch):
-    """A cluster without spark.checkpoint.dir is refused; folders go when the JVM ends."""
-    from spanvec.llm import _common
-
-    sc = type("C", (), {"master": "spark://host:7077", "getConf": lambda self: {}, "getCheckpointDir": lambda self: None})()
-    fake = type("S", (), {"sparkContext": sc, "conf": type("R", (), {"get": lambda self, k, d: d})()})()
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        _common.work_dir(fake)
-
-
 def test_queries_cover_every_document(spark):
     n = documents(spark, SF).count()
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
