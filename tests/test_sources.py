@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanvec.functions import keys
-from spanvec.sources import files
+from spanvec.sources import files, workspace
 from spanvec.sources.lookup import ArrowLookup, PackedParquetLookup, ParquetLookup, SidecarBuilder, SqliteLookup, open_or_build, open_or_build_sqlite
 from spanvec.streaming import ingest
 
@@ -156,3 +156,11 @@ def test_windows_on_a_stream(spark, tmp_path):
 def test_sessions_on_a_stream(spark, tmp_path):
     got, want = streamed(spark, tmp_path, ingest.sessions)
     assert got == want and len(want) == 5
+
+
+def test_work_folder():
+    """A cluster without spark.checkpoint.dir is refused."""
+    sc = type("C", (), {"master": "local-cluster[2,1,1024]", "getConf": lambda self: {}, "getCheckpointDir": lambda self: None})()
+    fake = type("S", (), {"sparkContext": sc, "conf": type("R", (), {"get": lambda self, k, d: d})()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        workspace.work_dir(fake)
