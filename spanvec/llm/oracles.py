@@ -23,8 +23,8 @@ judged AS (SELECT r, line, len(w) AS n,
     NOT regexp_matches(line, '[.!?:;)\]"''”’»…。！？][\x20\x09-\x0D]*$')
     OR len(regexp_extract_all(line, '[!?#*$%&|<>~^=_@{{}}\\]')) > 0.3 * len(w)
     OR len(regexp_extract_all(line, '[|»›·•>]')) * 4 >= len(w)
-    OR (len(w) <= 8 AND regexp_matches(line, '(?i)^[^a-z0-9]*(home|about us|contact us|log ?in|sign (in|up|out)|register|menu|next|previous|read more|back to top|share|tweet|skip to content|search|site ?map|follow us)\b'))
-    OR regexp_matches(lower(line), 'lorem ipsum|enable javascript|uses cookies|use cookies|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|subscribe to|newsletter|click here|powered by')
+    OR (len(w) <= 8 AND regexp_matches(line, '(?i)^[^a-z0-9]*(home|about us|contact us|log ?in|sign (in|up|out)|register|menu|next|previous|read more|back to top|share|tweet|skip to content|search|site ?map|follow us|startseite|über uns|kontakt|anmelden|abmelden|registrieren|weiterlesen|zurück zur|nach oben|teilen|impressum|folgen sie uns|accueil|à propos|contactez-nous|connexion|déconnexion|s''inscrire|précédent|lire la suite|haut de page|partager|rechercher|plan du site|suivez-nous|inicio|acerca de|contacto|iniciar sesión|cerrar sesión|registrarse|siguiente|leer más|volver arriba|compartir|buscar|mapa del sitio|síguenos)\b'))
+    OR regexp_matches(lower(line), 'lorem ipsum|enable javascript|uses cookies|use cookies|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|subscribe to|newsletter|click here|powered by|datenschutzerklärung|nutzungsbedingungen|alle rechte vorbehalten|verwendet cookies|hier klicken|politique de confidentialité|conditions d''utilisation|tous droits réservés|utilise des cookies|cliquez ici|abonnez-vous|política de privacidad|condiciones de uso|todos los derechos reservados|utiliza cookies|haga clic aquí|suscríbase')
   ) AS fails FROM l),
 lines AS (SELECT r, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup, coalesce(sum(n) FILTER (fails), 0) AS lost FROM judged GROUP BY r),
 f AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,

@@ -27,9 +27,22 @@ LINE_END = ".!?:;)]\"'”’»…。！？"
 MARKS = r"[!?#*$%&|<>~^=_@{}\\]"
 MOST_MARKS = 0.3
 SEPARATORS = r"[|»›·•>]"
-MENU = r"(?i)^[^a-z0-9]*(home|about us|contact us|log ?in|sign (in|up|out)|register|menu|next|previous|read more|back to top|share|tweet|skip to content|search|site ?map|follow us)\b"
+#: Starts of menu lines and of page furniture, in English, German, French and Spanish.
+MENU = (
+    r"(?iu)^[^a-z0-9]*("
+    r"home|about us|contact us|log ?in|sign (in|up|out)|register|menu|next|previous|read more|back to top|share|tweet|skip to content|search|site ?map|follow us|"
+    r"startseite|[üÜ]ber uns|kontakt|anmelden|abmelden|registrieren|weiterlesen|zurück zur|nach oben|teilen|impressum|folgen sie uns|"
+    r"accueil|[àÀ] propos|contactez-nous|connexion|déconnexion|s'inscrire|précédent|lire la suite|haut de page|partager|rechercher|plan du site|suivez-nous|"
+    r"inicio|acerca de|contacto|iniciar sesión|cerrar sesión|registrarse|siguiente|leer más|volver arriba|compartir|buscar|mapa del sitio|síguenos"
+    r")\b"
+)
 MENU_WORDS = 8
-BOILERPLATE = ("lorem ipsum", "enable javascript", "uses cookies", "use cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "subscribe to", "newsletter", "click here", "powered by")
+BOILERPLATE = (
+    "lorem ipsum", "enable javascript", "uses cookies", "use cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "subscribe to", "newsletter", "click here", "powered by",
+    "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "verwendet cookies", "hier klicken",
+    "politique de confidentialité", "conditions d'utilisation", "tous droits réservés", "utilise des cookies", "cliquez ici", "abonnez-vous",
+    "política de privacidad", "condiciones de uso", "todos los derechos reservados", "utiliza cookies", "haga clic aquí", "suscríbase",
+)
 MIN_WORDS = 50
 MOST_REPEATED = 50
 MOST_LOST = 0.5

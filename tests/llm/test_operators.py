@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from spanvec.llm import bpe, components, license_scan, lm_score, minhash, mixing, quality_classifier, quality_rules, secrets, simhash, token_counts
 from spanvec.llm._common import documents
+from spanvec.llm.oracles import ORACLES
 from spanvec.llm.queries import QUERIES, id_remainder, tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -327,7 +328,7 @@ def test_quality_rules(docs, empty):
     assert len(got) == len(ROWS) and quality_rules.clean(empty).count() == 0
 
 
-@pytest.mark.parametrize("line,bad", [("A plain sentence ends here.", False), ("", False), ("no end mark", True), ("Home | About | Contact", True), ("Home.", True), ("We use cookies on this site.", True), ("WHAT!! IS!! THIS!!", True), ("He said: “yes.”", False)])
+@pytest.mark.parametrize("line,bad", [("A plain sentence ends here.", False), ("", False), ("no end mark", True), ("Home | About | Contact", True), ("Home.", True), ("We use cookies on this site.", True), ("WHAT!! IS!! THIS!!", True), ("He said: “yes.”", False), ("Über uns.", True), ("À PROPOS.", True), ("Iniciar SESIÓN!", True), ("Tous droits réservés.", True), ("Die Datenschutzerklärung gilt.", True), ("Er ging weiter.", False)])
 def test_line_rules(spark, line, bad):
     assert spark.range(1).select(quality_rules.line_fails(F.lit(line))).first()[0] == bad
 
@@ -534,7 +535,6 @@ def test_redact_odd_rows(spark, docs, empty):
 def test_secret_query_equals_sql(spark):
     """The SQL counts repositories and owners too: copies within one owner, and over owners."""
     import duckdb
-    from spanvec.llm.oracles import ORACLES
 
     other, third = KEY[::-1], KEY.upper().replace("0", "x")
     rows = [(i, f"x {KEY} y", "hot") for i in range(40)] + [(100 + i, f"x {other} y token={third}", "hot") for i in range(10)] + [(None, f"{third}", None)] * 2 + [(300 + i, f"a{KEY[1:]}", f"o{i}") for i in range(4)]
@@ -654,6 +654,19 @@ def test_classifier(spark, docs, empty):
     assert levels.tolist() == [0, 0.5, 0.5, 1] and knots.tolist() == [1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_sql(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet' UNION ALL SELECT 10000 + row_number() OVER (), v, 'de', 'x', 0 FROM (VALUES ('ÜBER UNS.\n' || repeat('Ein Satz geht hier zu Ende. ', 30)), (NULL), ('Lire la suite.\nS''inscrire')) AS t(v)")
+    more = spark.createDataFrame([(10001, "ÜBER UNS.\n" + "Ein Satz geht hier zu Ende. " * 30), (10002, None), (10003, "Lire la suite.\nS'inscrire")], "doc_id long, text string")
+    docs = documents(spark, SF).select("doc_id", "text", "source").unionByName(more.withColumn("source", F.lit("x")))
+    made = {"op5_quality_rules": lambda: quality_rules.clean(docs), "op8_secret_scan": lambda: secrets.scan(docs).withColumn("base_sha256", F.sha2(secrets.spelled(F.col("base")).cast("binary"), 256)).withColumn("spans", secrets.spelled(F.col("all_spans")))}[name]()
+    want = db.sql(ORACLES[name])
+    assert Counter(map(tuple, made.select(want.columns).collect())) == Counter(want.fetchall())
+
+
 def slow_isotonic(score, label):
     """Least squares among rising steps: the largest mean of a start up to the least mean of an end, over all stretches."""
     at = sorted(set(score))
