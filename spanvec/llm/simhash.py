@@ -48,6 +48,8 @@ LIKE_SHINGLE, LIKE = 5, 0.8
 BANDS, IN_BAND = 24, 4
 #: Shingle hashes that a task gathers for one band at most (8 bytes each).
 GATHERED = 1 << 20
+#: Texts that meet one copy of the least text of their band.
+SLICE = 256
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -70,19 +72,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: dict[str, Column] | None = None) -> DataFrame:
-    """(doc_id, fp long, keys...) for every row of docs; text null: fingerprint 0. No shuffle."""
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: dict[str, Column] | None = None, like: int | None = None) -> DataFrame:
+    """(doc_id, fp long, keys...) for every row of docs; text null: fingerprint 0. No shuffle.
+
+    like: a number of words; then also n and bands, the number of shingles of
+    so many words and the min-hash bands of their set.
+    """
     session_ready(docs.sparkSession)
     keys = keys or {}
-    names = ["doc_id", "fp", *keys]
+    names = ["doc_id", "fp", *keys, *(["n", "bands"] if like else [])]
 
     def run(batches):
         for b in batches:
-            fps = [_signed(fingerprint(t, shingle)) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), *b.columns[2:]], names)
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            columns = [b.column("doc_id"), pa.array([_signed(fingerprint(t, shingle)) for t in texts], pa.int64()), *b.columns[2:]]
+            if like:
+                sets = [shingle_hashes(t, like) for t in texts]
+                columns += [pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(k) for k, c in keys.items()))
-    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in names))
+    return rows.mapInArrow(run, ", ".join(f"{k} {'array<long>' if k == 'bands' else 'long'}" for k in names))
 
 
 def agreeing(n: int) -> int:
@@ -163,21 +173,13 @@ def shingle_hashes(text: bytes | None, shingle: int = LIKE_SHINGLE) -> np.ndarra
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
 
 
-def _banded(simhash_shingle: int, shingle: int):
-    odd = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 63, (BANDS * IN_BAND, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 63, (BANDS * IN_BAND, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def run(batches):
-        for b in batches:
-            fps, sizes, bands = [], [], []
-            for text in b.column("text").cast(pa.binary()).to_pylist():
-                h = shingle_hashes(text, shingle)
-                mixed = [int(((h ^ x) * y).min()) for x, y in odd] if len(h) else []
-                fps.append(_signed(fingerprint(text, simhash_shingle)))
-                sizes.append(len(h))
-                bands.append([_signed(xxhash.xxh64_intdigest(np.array([i // IN_BAND, *mixed[i : i + IN_BAND]], np.uint64).tobytes())) for i in range(0, len(mixed), IN_BAND)])
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), b.column("of_text"), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["fp", "of_text", "n", "bands"])
 
-    return run
+def bands(grams: np.ndarray) -> list[int]:
+    """A number for each band of a set of hashes; none for an empty set."""
+    least = np.array([((grams ^ x) * y).min() for x, y in _ODD], np.uint64).reshape(BANDS, IN_BAND) if len(grams) else ()
+    return [_signed(xxhash.xxh64_intdigest(np.append(np.uint64(i), m).tobytes())) for i, m in enumerate(least)]
 
 
 def _sets(shingle: int):
@@ -242,23 +244,26 @@ def _blocks(similarity: float):
     return run
 
 
-def similar_links(docs: DataFrame, links: DataFrame, similarity: float = LIKE, shingle: int = LIKE_SHINGLE, simhash_shingle: int = SHINGLE, gathered: int = GATHERED) -> DataFrame:
+def similar_links(docs: DataFrame, banded: DataFrame, links: DataFrame, similarity: float = LIKE, shingle: int = LIKE_SHINGLE, gathered: int = GATHERED) -> DataFrame:
     """links(a, b) of fingerprints, and more that connect those of texts of the given Jaccard similarity or more.
 
-    Texts count as one if their 64-bit digests are equal.
+    banded(fp, of_text, n, bands): ``with_fingerprints`` of the rows of docs, of_text being xxhash64 of the text.
+    Texts count as one if their digests are equal.
     """
     session_ready(docs.sparkSession)
     text = F.col("text").cast("string")
     texts = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("of_text"), text.alias("text"))
-    banded = written(texts.mapInArrow(_banded(simhash_shingle, shingle), "fp long, of_text long, n long, bands array<long>").dropDuplicates(["of_text"]), "bands")
+    banded = banded.where("n > 0").select("fp", "of_text", "n", "bands").dropDuplicates(["of_text"])
     keys = banded.select("fp", "of_text", "n", F.explode("bands").alias("band"))
-    least = keys.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.min("of_text").alias("y"), F.min_by("fp", "of_text").alias("b")).where("low < high")
-    shared = written(keys.join(least.select("band", "y", "b"), "band"), "shared")
+    least = keys.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.min("of_text").alias("y"), F.min_by("fp", "of_text").alias("b"), F.ceil(F.count("*") / SLICE).alias("slices")).where("low < high")
+    shared = written(keys.join(least.select("band", "y", "b", "slices"), "band"), "shared")
     sets = written(texts.join(shared.select("of_text").distinct(), "of_text", "left_semi").dropDuplicates(["of_text"]).mapInArrow(_sets(shingle), "of_text long, grams array<long>"), "shingles")
 
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) > CLOSE
-    pairs = shared.where(far).select(F.col("fp").alias("a"), "b", F.col("of_text").alias("x"), "y").distinct()
-    both = pairs.join(sets.select(F.col("of_text").alias("x"), F.col("grams").alias("x_grams")), "x").join(sets.select(F.col("of_text").alias("y"), F.col("grams").alias("y_grams")), "y")
+    pairs = shared.where(far).groupBy(F.col("fp").alias("a"), "b", F.col("of_text").alias("x"), "y").agg(F.max("slices").alias("slices"))
+    least_sets = pairs.select("y", "slices").distinct().join(sets.select(F.col("of_text").alias("y"), F.col("grams").alias("y_grams")), "y").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    pairs = pairs.withColumn("slice", F.pmod(F.xxhash64("x"), "slices")).join(sets.select(F.col("of_text").alias("x"), F.col("grams").alias("x_grams")), "x")
+    both = pairs.join(least_sets, ["y", "slices", "slice"])
     links = links.unionByName(both.select("a", "b", "x_grams", "y_grams").mapInArrow(_alike(similarity), "a long, b long"))
 
     roots = written(components(links), "roots-of-least")
@@ -273,14 +278,21 @@ def similar_links(docs: DataFrame, links: DataFrame, similarity: float = LIKE, s
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
 
 
-def _roots(distinct: DataFrame, docs: DataFrame, bucket_limit: int, m: int | None, similarity: float | None, shingle: int) -> DataFrame:
-    """(node, root) of the fingerprints that have links."""
+def _roots(distinct: DataFrame, docs: DataFrame, rows: DataFrame, bucket_limit: int, m: int | None, similarity: float | None) -> DataFrame:
+    """(node, root) of the fingerprints that have links; rows: ``_rows`` of docs."""
     links = fingerprint_links(distinct, bucket_limit, m)
     if similarity is not None:
-        links = similar_links(docs, links, similarity, simhash_shingle=shingle)
+        links = similar_links(docs, rows, links, similarity)
     return written(components(links), "roots")
 
 
+def _rows(docs: DataFrame, shingle: int, keys: dict[str, Column], similarity: float | None) -> DataFrame:
+    """Everything that is worked out from a text by itself, in one pass."""
+    if similarity is None:
+        return written(with_fingerprints(docs, shingle, keys), "fingerprints")
+    return written(with_fingerprints(docs, shingle, keys | {"of_text": F.xxhash64(F.col("text").cast("string"))}, LIKE_SHINGLE), "fingerprints")
+
+
 def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, shingle: int = SHINGLE, m: int | None = None, similarity: float | None = LIKE) -> DataFrame:
     """docs(doc_id, text, ...) to (doc_id, fingerprint, component_id), a row for each row of docs.
 
@@ -292,9 +304,9 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, shingle:
     is not null, or null if the component has none.  Repeated rows give
     repeated rows; an empty table gives none.  Other columns are not read.
     """
-    fps = written(with_fingerprints(docs, shingle), "fingerprints")
+    fps = _rows(docs, shingle, {}, similarity)
     least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
-    roots = _roots(least.select("fp"), docs, bucket_limit, m, similarity, shingle)
+    roots = _roots(least.select("fp"), docs, fps, bucket_limit, m, similarity)
     linked = least.join(roots, least.fp == roots.node).select("fp", "root", "low")
     lows = linked.groupBy("root").agg(F.min("low").alias("component"))
     of_fp = least.join(linked.select("fp", "root").join(lows, "root").select("fp", "component"), "fp", "left").select(
@@ -327,10 +339,10 @@ def drop_near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT, simi
     their other columns differ, is not defined).  Null and empty texts are alike, so one of
     them stays.  An empty table gives no rows.
     """
-    fps = with_fingerprints(docs, keys=_row_keys())
+    fps = _rows(docs, SHINGLE, _row_keys(), similarity)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2").alias("row")
     least = written(fps.select("fp", row).groupBy("fp").agg(F.min("row").alias("row")), "least")
-    roots = _roots(least.select("fp"), docs, bucket_limit, None, similarity, SHINGLE)
+    roots = _roots(least.select("fp"), docs, fps, bucket_limit, None, similarity)
     first = least.join(roots, least.fp == roots.node, "left").groupBy(F.coalesce("root", "fp")).agg(F.min("row").alias("row")).select("row.k1", "row.k2")
     rows = docs.select(F.struct(*docs.columns).alias("d"), *(c.alias(k) for k, c in _row_keys().items()))
     return rows.dropDuplicates(["k1", "k2"]).join(first, ["k1", "k2"], "left_semi").select("d.*")

@@ -173,7 +173,8 @@ def test_similar_links_do_not_need_all_pairs(spark, gathered):
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     distinct = simhash.with_fingerprints(docs).select("fp").distinct()
-    links = simhash.similar_links(docs, simhash.fingerprint_links(distinct), gathered=gathered)
+    banded = simhash.with_fingerprints(docs, keys={"of_text": F.xxhash64("text")}, like=simhash.LIKE_SHINGLE)
+    links = simhash.similar_links(docs, banded, simhash.fingerprint_links(distinct), gathered=gathered)
     roots = {r.node: r.root for r in components.components(links).collect()}
     signed = [f - (1 << 64) if (f := slow_simhash(t)) >> 63 else f for _, t in rows]
     _, want = slow_kept(rows)
