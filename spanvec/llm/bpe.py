@@ -35,7 +35,7 @@ from ._common import per_batch, session_ready
 #: Unicode's White_Space, as the pre-tokenizer's pattern has it; for a character class.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Entries of one generation of a table of seen fragments; two are held.
-GENERATION = 350_000
+GENERATION = 200_000
 #: Fragments longer than this are not kept, so that entries have a bounded size.
 KEPT_CHARS = 64
 #: Below this all letters and numbers have long been assigned, so that any Unicode version classes them alike, and none combines.
