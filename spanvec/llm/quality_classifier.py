@@ -123,12 +123,11 @@ def _solve(gram: np.ndarray, n: float) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, max_labels: int = MAX_LABELS) -> Model:
-    """labelled(doc_id, x, y): y is 0 or 1. At most about ``max_labels`` rows are used, chosen by a hash of doc_id."""
+    """labelled(doc_id, x, y), a stored table, as it is read several times: y is 0 or 1. At most about ``max_labels`` rows are used, chosen by a hash of doc_id."""
     n = labelled.count()
     if n > max_labels:
         labelled = labelled.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(n)) < max_labels)
     rows = labelled.select("x", F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")).coalesce(SUM_TASKS)
-    rows = written(rows, "labelled").coalesce(SUM_TASKS)
     stat = rows.select("y", F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.avg("y").alias("y")).orderBy("i").collect()
     if not stat:
         return Model(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)), None, np.zeros(1), np.array([0.5]))
