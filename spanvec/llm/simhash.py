@@ -257,7 +257,9 @@ def similar_links(docs: DataFrame, banded: DataFrame, links: DataFrame, similari
     keys = banded.select("fp", "of_text", "n", F.explode("bands").alias("band"))
     least = keys.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.min("of_text").alias("y"), F.min_by("fp", "of_text").alias("b"), F.ceil(F.count("*") / SLICE).alias("slices")).where("low < high")
     shared = written(keys.join(least.select("band", "y", "b", "slices"), "band"), "shared")
-    sets = written(texts.join(shared.select("of_text").distinct(), "of_text", "left_semi").dropDuplicates(["of_text"]).mapInArrow(_sets(shingle), "of_text long, grams array<long>"), "shingles")
+    # copies become one row for each task before they are dealt out by their text
+    distinct = texts.dropDuplicates(["of_text"]).join(shared.select("of_text").distinct().hint("merge"), "of_text", "left_semi")
+    sets = written(distinct.mapInArrow(_sets(shingle), "of_text long, grams array<long>"), "shingles")
 
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) > CLOSE
     pairs = shared.where(far).groupBy(F.col("fp").alias("a"), "b", F.col("of_text").alias("x"), "y").agg(F.max("slices").alias("slices"))
